@@ -12,12 +12,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, secrets, tokens
+from . import chat, decontam, embeddings, mixing, secrets, simhash, tokens, toxicity
 from .common import UPPER, table
 
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
+#: Production weights: the largest source is held to a tenth.
+TARGETS: dict[str | None, int] = {"src0": 10} | {f"src{k}": 4 for k in range(1, 20)} | {mixing.SHARED: 14}
+
+
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs, TARGETS).drop("text")
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    digits = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
+    return found.select(F.col("id").alias("doc_id"), digits.alias("fingerprint"), "component_id")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.find_secrets(docs).drop("text")
@@ -31,12 +46,29 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.find_windows(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "found")
     return found.select("doc_id", *[c.alias(name) for name, c in decontam.findings(F.col("found")).items()])
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Model:
+    """Fitted without the labels of the held-out third."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return toxicity.fit(docs, labels.filter(~toxicity.held_out(F.col("doc_id"))))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity_model(spark, sf_dir, docs))
+    predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int")
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.suffix_sums(tokens.length_histogram(table(spark, sf_dir, "documents")))
 
@@ -63,8 +95,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_source_mix": op1_source_mix,
+    "op2_simhash": op2_simhash,
     "op3_secret_scan": op3_secret_scan,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op6_decontamination": op6_decontamination,
+    "op7_toxicity": op7_toxicity,
     "op8_token_counts": op8_token_counts,
     "op10_chat_format": op10_chat_format,
 }
@@ -137,7 +173,20 @@ _DECONTAMINATION_SQL = f"""
          sha256(coalesce(v, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
   from d left join c using (doc_id) left join x using (doc_id)"""
 
+_EMBEDDING_SQL = """
+  with recursive v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings),
+  u as (select vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as n from v
+        where e is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0),
+  w as (select vec_id, list_transform(e, lambda x: x / n) as e from u where n > 0),
+  l as (select a.vec_id as a, b.vec_id as b from w a, w b where a.vec_id <> b.vec_id and list_dot_product(a.e, b.e) >= 0.95),
+  r(a, c) as (select vec_id, vec_id from embeddings union select l.b, r.c from r join l on l.a = r.a),
+  m as (select a as vec_id, min(c) as component_id from r group by a),
+  k as (select a as vec_id, count(*) as n from l group by a)
+  select vec_id, coalesce(k.n, 0)::bigint as n_links, component_id, vec_id = component_id as kept
+  from m left join k using (vec_id)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_embedding_dedup": _EMBEDDING_SQL,
     "op3_secret_scan": _secret_sql(),
     "op6_decontamination": _DECONTAMINATION_SQL,
     "op10_chat_format": _chat_sql(),
