@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, embeddings, mixing, secrets, simhash, tokens, toxicity
+from . import chat, decontam, embeddings, licenses, mixing, secrets, simhash, tokens, toxicity
 from .common import UPPER, table
 
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
@@ -50,6 +50,22 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licenses.find_licenses(docs).select("doc_id", "found.*")
+    starts = F.transform("places", lambda p: p["start"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        licenses.labels_of(F.col("places")).alias("base_labels"),
+        licenses.labels_of(F.col("places"), F.col("blocks")).alias("labels"),
+        "score",
+    )
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.find_windows(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "found")
@@ -99,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_secret_scan": op3_secret_scan,
     "op4_embedding_dedup": op4_embedding_dedup,
+    "op5_license_scan": op5_license_scan,
     "op6_decontamination": op6_decontamination,
     "op7_toxicity": op7_toxicity,
     "op8_token_counts": op8_token_counts,
@@ -173,6 +190,30 @@ _DECONTAMINATION_SQL = f"""
          sha256(coalesce(v, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
   from d left join c using (doc_id) left join x using (doc_id)"""
 
+def _license_sql() -> str:
+    """Every place and every block is tried, whatever its tokens."""
+    phrases = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in licenses.PHRASES)
+    templates = ", ".join(f"(list_distinct(string_split('{t}', ' ')), '{label}')" for t, label in licenses.TEMPLATES)
+    half = licenses.BLOCK // 2
+    return f"""
+      with d as (select doc_id, {_WORDS} as w from documents),
+      p(phrase, label, n) as (values {phrases}),
+      b as (select doc_id, label, s - 1 as start_
+            from (select doc_id, w, phrase, label, n, unnest(range(1, len(w) - n + 2)) as s from d, p)
+            where array_to_string(w[s:s + n - 1], ' ') = phrase),
+      t(tokens, label) as (values {templates}),
+      c as (select doc_id, label, len(list_intersect(tokens, w[k * {half} + 1:k * {half} + {licenses.BLOCK}]))::double / len(tokens) as share
+            from (select doc_id, w, tokens, label, unnest(range(0, greatest(1, ceil(len(w) / {half}))::bigint)) as k from d, t)),
+      g as (select doc_id, count(*) as n, min(start_) as lo, max(start_) as hi, string_agg(distinct label, ',' order by label) as labels from b group by 1),
+      m as (select doc_id, label from b union select doc_id, label from c where share >= {licenses.THRESHOLD}),
+      x as (select doc_id, max(share) as share from c where share >= {licenses.THRESHOLD} group by 1),
+      a as (select doc_id, string_agg(label, ',' order by label) as labels from m group by 1)
+      select d.doc_id, len(w)::bigint as n_words, coalesce(g.n, 0)::bigint as n_base, g.lo::bigint as first_word, g.hi::bigint as last_word,
+             coalesce(g.labels, '') as base_labels, coalesce(a.labels, '') as labels,
+             greatest(case when g.n > 0 then 1.0 else 0.0 end, coalesce(x.share, 0.0))::double as score
+      from d left join g using (doc_id) left join a using (doc_id) left join x using (doc_id)"""
+
+
 _EMBEDDING_SQL = """
   with recursive v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings),
   u as (select vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as n from v
@@ -188,6 +229,7 @@ _EMBEDDING_SQL = """
 ORACLE_SQL: dict[str, str] = {
     "op4_embedding_dedup": _EMBEDDING_SQL,
     "op3_secret_scan": _secret_sql(),
+    "op5_license_scan": _license_sql(),
     "op6_decontamination": _DECONTAMINATION_SQL,
     "op10_chat_format": _chat_sql(),
 }

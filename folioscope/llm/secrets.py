@@ -126,8 +126,11 @@ def of_kinds(spans: Column, kinds: list[str]) -> Column:
     return F.filter(spans, lambda s: s["kind"].isin(kinds))
 
 
-def redact(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with each secret replaced by [kind]; overlapping spans become one."""
+def redact(docs: DataFrame, text: str = "text", length: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """docs with each secret replaced by [kind]; overlapping spans become one.
+
+    length: a column that gets the new number of characters of texts that changed.
+    """
     name = fresh(docs, "spans")
 
     @F.arrow_udf("string")
@@ -145,5 +148,11 @@ def redact(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
             out.append("".join([*kept, value[at:]]))
         return pa.array(out, pa.string())
 
+    new = fresh(docs, "redacted")
     rows = find_secrets(docs, text, name, rules)
-    return rows.select(*[cut(F.col(f"`{c}`").cast("string"), F.col(name)).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    rows = rows.withColumn(new, cut.asNondeterministic()(F.col(f"`{text}`").cast("string"), F.col(name)))
+    columns = {c: F.col(f"`{c}`") for c in docs.columns} | {text: F.col(new)}
+    if length is not None and length in columns:
+        kind = docs.schema[length].dataType
+        columns[length] = F.when(F.size(name) > 0, F.length(new).cast(kind)).otherwise(columns[length])
+    return rows.select(*[value.alias(c) for c, value in columns.items()])
