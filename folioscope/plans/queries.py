@@ -16,9 +16,12 @@ from ..functions import lexicons as L
 from ..functions import text as T
 from ..operators import citations as K
 from ..operators import graph as G
+from ..operators import procedures as P
 from ..operators import quality as Q
+from ..operators import rewriting as R
 from ..operators import similarity as V
 from ..operators import structure as S
+from ..operators import training as TR
 from ..sources import corpus as C
 
 TERMS = ("the", "of", "and", "to", "in")
@@ -384,3 +387,25 @@ def m07_scorecard(spark, sf_dir):
 @query()
 def m11_style(spark, sf_dir):
     return Q.style(order_documents(spark, sf_dir)).select("sop_id", "heading_style", "dominant_modal", "verb_first_pct", "passive_per_100w", F.array_join("deviations", ",").alias("deviates_on"), "status")
+
+
+@query(f"""with {_ORDERS} select sop_id, count(*)::bigint as n_lines from o group by 1""")
+def s8_order_lines(spark, sf_dir):
+    rows = S.lines(order_documents(spark, sf_dir)).filter(F.col("line").rlike(r"^(\d+\. Record|Step|- verify)"))
+    return rows.groupBy("sop_id").agg(F.count("*").alias("n_lines"))
+
+
+@query()
+def m06_rewrites(spark, sf_dir):
+    rows = R.rewrites(C.english(documents(spark, sf_dir)))
+    return rows.select("sop_id", F.col("before.grade").alias("before_grade"), F.col("after.grade").alias("after_grade"), "after.flagged", "after.passive", "status")
+
+
+@query()
+def m10_flowcharts(spark, sf_dir):
+    return P.flowcharts(order_documents(spark, sf_dir)).select("sop_id", "section", "n_steps", "n_decisions", "pages_replaced", "status", "mermaid")
+
+
+@query()
+def m13_training(spark, sf_dir):
+    return TR.packages(order_documents(spark, sf_dir)).select("sop_id", F.size("steps").alias("n_steps"), "method", F.size("quiz").alias("n_questions"), "aids", "est_minutes", "status")
