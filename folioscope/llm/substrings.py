@@ -205,9 +205,11 @@ def _runs(rows: np.ndarray) -> np.ndarray:
 
 
 def _by_target(rows: np.ndarray, target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    if not len(rows):
+        return
     order = np.argsort(target, kind="stable")
     rows, target = rows[order], target[order]
-    edges = np.flatnonzero(np.concatenate(([True], target[1:] != target[:-1]))) if len(rows) else []
+    edges = np.flatnonzero(np.concatenate(([True], target[1:] != target[:-1])))
     for a, b in zip(edges, [*edges[1:], len(rows)], strict=True):
         yield int(target[a]), rows[a:b]
 
