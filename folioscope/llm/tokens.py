@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import as_bytes, binary_values
+from .common import as_bytes, binary_values, cut_lineage
 
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the vocabulary's texts are cut before merging.
@@ -73,6 +73,7 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     Sums run within buckets of lengths, then over the buckets' totals, so that no
     task needs more than one bucket or one row per bucket.
     """
+    histogram = cut_lineage(histogram)  # it is read twice, and texts are encoded once
     h = histogram.select("n_tokens", "n_docs", F.floor(F.col("n_tokens") / _BUCKET).alias("bucket"))
     tokens = F.col("n_tokens") * F.col("n_docs")
     after = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
