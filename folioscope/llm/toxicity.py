@@ -35,6 +35,7 @@ from .common import fresh
 THRESHOLD = 0.7
 MAX_SAMPLE = 20_000
 MAX_LEXICON = 4_000
+LEAST_SURPRISE = 24.0
 #: Phrases that are harmless although they hold a lexicon word.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "trash collection", "stupid question", "circus clown")
 #: Look-alikes and the letters they stand for.
@@ -136,14 +137,15 @@ def _candidate_counts(sample: DataFrame) -> DataFrame:
             table: dict[str, list[int]] = {}
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for pattern, n in candidates(fold(text).split()).items():
-                    row = table.setdefault(pattern, [0, 0, 0])
+                    row = table.setdefault(pattern, [0, 0, 0, 0])
                     row[0 if toxic else 1] += min(n, _MOST_IN_ONE)
-                    row[2] += toxic
-            columns = list(zip(*table.values(), strict=True)) if table else [(), (), ()]
-            yield pa.record_batch([pa.array(table.keys(), pa.string()), *[pa.array(c, pa.int64()) for c in columns]], names=["pattern", "k1", "k0", "d1"])
+                    row[2 if toxic else 3] += 1
+            columns = list(zip(*table.values(), strict=True)) if table else [()] * 4
+            yield pa.record_batch([pa.array(table.keys(), pa.string()), *[pa.array(c, pa.int64()) for c in columns]], names=["pattern", *names])
 
-    counted = sample.mapInArrow(count, "pattern string, k1 long, k0 long, d1 long")
-    return counted.groupBy("pattern").agg(F.sum("k1").alias("k1"), F.sum("k0").alias("k0"), F.sum("d1").alias("d1"))
+    names = ["k1", "k0", "d1", "d0"]  # occurrences (some in one document) and documents, toxic and not
+    counted = sample.mapInArrow(count, "pattern string, k1 long, k0 long, d1 long, d0 long")
+    return counted.groupBy("pattern").agg(*[F.sum(c).alias(c) for c in names])
 
 
 def _pruned(rows: list[tuple[str, int, float]]) -> dict[str, float]:
@@ -198,9 +200,13 @@ def fit(
     if len(n) < 2:
         return Model((), exceptions, None)
     odds = F.log((F.col("k1") + 0.5) / (n[True] + 1)) - F.log((F.col("k0") + 0.5) / (n[False] + 1))
-    spread = F.sqrt(1 / (F.col("k1") + 0.5) + 1 / (F.col("k0") + 0.5))
-    scored = _candidate_counts(sample).filter("d1 >= 4").select("pattern", "k1", odds.alias("w"), (odds / spread).alias("z"))
-    top = scored.filter("w >= 2 and z >= 4.5").orderBy(F.desc("z"), "pattern").limit(max_lexicon)
+    share = n[True] / (n[True] + n[False])
+    surprise = F.lit(0.0)  # the log-likelihood ratio of its documents' labels against the labels' shares
+    for found, part in (("d1", share), ("d0", 1 - share)):
+        expected = (F.col("d1") + F.col("d0")) * part
+        surprise += F.when(F.col(found) > 0, 2 * F.col(found) * F.log(F.col(found) / expected)).otherwise(0.0)
+    scored = _candidate_counts(sample).filter("d1 >= 4").select("pattern", "k1", odds.alias("w"), surprise.alias("g"))
+    top = scored.filter(f"w >= 2 and g >= {LEAST_SURPRISE}").orderBy(F.desc("g"), "pattern").limit(max_lexicon)
     lexicon = tuple(sorted(_pruned([(r["pattern"], r["k1"], r["w"]) for r in top.collect()]).items()))
     bare = Model(lexicon, exceptions, None)
 
