@@ -63,20 +63,32 @@ _COVER, _REQUEST = 0, 1
 
 
 def pack(rows: np.ndarray) -> bytes:
-    """Columns one after another; documents as a list and small numbers."""
+    """Columns one after another, by document and start: documents as a list, starts
+    as differences, triggers in six bytes, small numbers in one."""
     docs, number = np.unique(rows[["doc", "text"]], return_inverse=True)
-    columns = {name: np.ascontiguousarray(rows[name]) for name in rows.dtype.names if name not in ("doc", "text")}
+    order = np.lexsort((rows["start"], number))
+    rows, number = rows[order], number[order]
+    columns = {name: np.ascontiguousarray(rows[name]) for name in rows.dtype.names if name not in ("doc", "text", "trigger")}
+    columns["start"] = np.diff(columns["start"], prepend=np.uint32(0))
+    if "trigger" in rows.dtype.names:
+        columns["trigger"] = ((rows["trigger"] >> np.uint64(32)).astype(np.uint16), rows["trigger"].astype(np.uint32))
     for name in ("n", "at"):
         if name in columns and (not len(rows) or columns[name].max() < 256):
             columns[name] = columns[name].astype(np.uint8)
-    small = np.uint16 if len(docs) < 65_536 else np.uint32
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps((docs["doc"].copy(), docs["text"].copy(), number.astype(small), columns), 5))
+    step = np.diff(number, prepend=0)
+    step = step.astype(np.uint8 if not len(step) or step.max() < 256 else np.uint32)
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps((docs["doc"].copy(), docs["text"].copy(), step, columns), 5))
 
 
 def unpack(blob: bytes, dtype: np.dtype) -> np.ndarray:
-    doc, text, number, columns = pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+    doc, text, step, columns = pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+    number = np.cumsum(step, dtype=np.int64)
     rows = np.empty(len(number), dtype)
     rows["doc"], rows["text"] = doc[number], text[number]
+    columns["start"] = np.cumsum(columns["start"], dtype=np.uint32)
+    if "trigger" in columns:
+        high, low = columns["trigger"]
+        columns["trigger"] = high.astype(np.uint64) << np.uint64(32) | low
     for name, values in columns.items():
         rows[name] = values
     return rows
@@ -137,7 +149,7 @@ def parse(doc: np.ndarray, text: np.ndarray, values: list[bytes], window: int =
     hi, own = lo + n - 1, owner[lo]
     out = np.empty(len(lo), PHRASE)
     out["doc"], out["text"], out["start"], out["n"] = doc[own], text[own], lo - (ends - sizes)[own], n
-    out["trigger"] = hashes.of(at, at + gram)
+    out["trigger"] = hashes.of(at, at + gram) >> np.uint64(16)
     out["phrase"] = hashes.of(lo, hi + window).astype(np.uint32)
     side = (window - gram) // 2
     left, right = lo <= at - side, hi + window >= at + gram + side
