@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import cut_lineage, ensure_checkpoint_dir  # noqa: F401  the operators take both from here
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Bytes that end a word: every ASCII byte but 0-9 and a-z (after folding A-Z).
 _SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
@@ -47,26 +48,12 @@ def fresh(df: DataFrame, stem: str) -> str:
     return stem
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; a temporary one only where none is set."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", "") or ""
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share."""
     ensure_checkpoint_dir(spark)
     return spark.sparkContext.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that nothing refers to any more."""
     gc.collect()

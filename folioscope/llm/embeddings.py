@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
 from .common import cut_lineage
-from .graph import connected_components
 
 COSINE = 0.95
 MAX_SAMPLE = 8_000

@@ -33,8 +33,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
 from .common import as_bytes, binary_values, cut_lineage, fresh
-from .graph import connected_components
 
 MAX_BITS = 4
 SHINGLE = 4
