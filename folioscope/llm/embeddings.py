@@ -8,6 +8,13 @@ Hamming table. Vectors that share a bucket of any table are compared by the cosi
 of the original vectors in double precision, and a pair counts in the first table
 that holds it alone, so no pair counts twice.
 
+The number of rotations follows from recall that is measured by brute force on the
+sample: on its own links, and on copies of its vectors turned right to the threshold.
+Rotations are doubled until each kind reaches ``LEAST_RECALL``; beside the learned,
+centred codes, random rotations without centring are tried, as vectors that share a
+direction fall apart when it is removed. Where no codes reach it, or they would
+compare more pairs than there are, every pair is compared.
+
 No pair leaves the executors: a bucket yields how many partners each vector has
 and a spanning forest of its links. Buckets larger than ``block`` vectors are cut
 into blocks that are compared block by block as separate groups.
@@ -39,13 +46,20 @@ CODE_BITS = 64
 BITS = 16
 BLOCK = 2_048
 _FEW = 32
+LEAST_RECALL = 0.999
+MOST_ROTATIONS = 24
+_MOST_LINKS = 200_000
 
 
 class Codes:
-    """Learned on unit vectors: a mean, and rotations after principal components."""
+    """Learned on unit vectors: a mean, and rotations after principal components.
+
+    Not centred, the rotations are random; without rotations all vectors share the
+    one bucket of one table."""
 
-    def __init__(self, sample: np.ndarray, rotations: int = ROTATIONS, rounds: int = 15, seed: int = 7):
-        self.mean = sample.mean(axis=0)
+    def __init__(self, sample: np.ndarray, rotations: int = ROTATIONS, rounds: int = 15, seed: int = 7, centred: bool = True):
+        self.mean = sample.mean(axis=0) if centred else np.zeros(sample.shape[1])
+        rounds = rounds if centred else 0
         centred = sample - self.mean
         _, axes = np.linalg.eigh(centred.T @ centred)
         width = min(CODE_BITS, sample.shape[1])
@@ -61,7 +75,7 @@ class Codes:
 
     def keys(self, vectors: np.ndarray, bits: int = BITS) -> np.ndarray:
         """A row per vector, the substring for each table."""
-        columns = []
+        columns = [] if self.maps else [np.zeros(len(vectors), np.int64)]
         for m in self.maps:
             signs = ((vectors - self.mean) @ m >= 0).astype(np.int64)
             for at in range(0, signs.shape[1] - bits + 1, bits):
@@ -69,6 +83,59 @@ class Codes:
         return np.stack(columns, axis=1)
 
 
+def _tests(sample: np.ndarray, cosine: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs to find: the sample's own links (a random part of many), and copies at
+    the threshold, turned in any direction and in directions between vectors."""
+    rng = np.random.default_rng(11)
+    n = len(sample)
+    firsts, seconds = [], []
+    share = -(-_MOST_LINKS * 256 // n)
+    for at in range(0, n, 256):
+        i, j = np.nonzero(np.triu(sample[at : at + 256] @ sample.T >= cosine, at + 1))
+        if len(i) > share:
+            part = rng.choice(len(i), share, replace=False)
+            i, j = i[part], j[part]
+        firsts.append(i + at)
+        seconds.append(j)
+    i, j = np.concatenate(firsts), np.concatenate(seconds)
+    tests = [(sample[i], sample[j])] if len(i) else []
+    for away in (rng.standard_normal(sample.shape), sample[rng.permutation(n)] - sample[rng.permutation(n)]):
+        away = away - (away * sample).sum(axis=1, keepdims=True) * sample
+        length = np.linalg.norm(away, axis=1, keepdims=True)
+        use = length[:, 0] > 1e-6
+        turned = cosine * sample[use] + np.sqrt(1 - cosine**2) * away[use] / length[use]
+        tests += [(sample[use], turned)] if use.any() else []
+    return tests
+
+
+def fit(sample: np.ndarray, cosine: float = COSINE, rotations: int = ROTATIONS, bits: int = BITS) -> Codes:
+    """The codes with the fewest rotations that find enough of the sample's pairs, or
+    codes that have every pair compared."""
+    tests = _tests(sample, cosine)
+
+    def recall(codes: Codes) -> float:
+        found = []
+        for a, b in tests:
+            hits = [(codes.keys(a[k : k + 8_192], bits) == codes.keys(b[k : k + 8_192], bits)).any(axis=1).sum() for k in range(0, len(a), 8_192)]
+            found.append(sum(hits) / len(a))
+        return min(found, default=1.0)
+
+    def compared(codes: Codes) -> float:
+        """Pairs of one bucket in all tables, as a share of all pairs."""
+        keys = codes.keys(sample, bits)
+        sizes = np.concatenate([np.unique(column, return_counts=True)[1] for column in keys.T]).astype(np.float64)
+        return float((sizes * (sizes - 1)).sum() / max(1, len(sample) * (len(sample) - 1)))
+
+    while 0 < rotations <= MOST_ROTATIONS:
+        tried = [codes for codes in (Codes(sample, rotations), Codes(sample, rotations, centred=False)) if recall(codes) >= LEAST_RECALL]
+        if tried:
+            best = min(tried, key=compared)
+            if compared(best) < 1:
+                return best
+        rotations *= 2
+    return Codes(sample, 0)
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
     scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
@@ -200,8 +267,8 @@ def near_duplicates(
     if not sample:
         return own.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     width = Counter(len(v) for v in sample).most_common(1)[0][0]
-    codes = Codes(_unit(np.array([v for v in sample if len(v) == width], np.float64)), rotations)
     bits = min(bits, width)
+    codes = fit(_unit(np.array([v for v in sample if len(v) == width], np.float64)), cosine, rotations, bits)
 
     coded = nodes.filter(F.size("vector") == width)
     entries = coded.mapInArrow(_entries(codes, bits), "t int, key long, node long, copies long, keys binary, vector binary")
