@@ -40,19 +40,19 @@ def hubs(links: DataFrame, most: int = 5) -> DataFrame:
     return links.groupBy("dst").agg(F.count("*").alias("in_degree")).orderBy(F.desc("in_degree"), "dst").limit(most)
 
 
-def cycles(links: DataFrame, max_length: int = 100) -> DataFrame:
+def cycles(links: DataFrame) -> DataFrame:
     """nodes, length of every elementary cycle, from its smallest node.
 
     Paths grow by one edge a round through nodes larger than their start; a round
-    is cut off with a checkpoint. Cycles can be as many as there are subsets of
-    nodes: max_length bounds the rounds on dense graphs. Only edges inside a
-    strongly connected part can be on a cycle, and others are dropped first.
+    is cut off with a checkpoint. Rounds end when no path is left, as a path's nodes
+    are distinct; cycles can be as many as there are subsets of nodes. Only edges
+    inside a strongly connected part can be on a cycle, and others are dropped first.
     """
     e = cut_lineage(links.select("src", "dst").filter("src <> dst").distinct())
     e = _on_cycles(e)
     paths = e.filter("dst > src").select(F.array("src", "dst").alias("path"))
     found: DataFrame | None = None
-    for _ in range(max_length):
+    while True:
         paths = cut_lineage(paths)
         if paths.isEmpty():
             break
