@@ -255,7 +255,7 @@ def v3_cosine_pairs(spark, sf_dir):
 @query()
 def m02_topics(spark, sf_dir):
     """Clusters of documents: k-means on leading singular directions."""
-    return V.k_means(V.svd(_vectors(spark, sf_dir), 6, rounds=4))
+    return V.k_means(V.svd(_vectors(spark, sf_dir)))
 
 
 # --- graph ---------------------------------------------------------------------------
