@@ -77,21 +77,44 @@ def test_modules_find_the_planted_faults(inputs):
     assert worst["SOP-CLN-001"] == "fail"
 
 
-def test_rewriting_and_decisions():
-    assert R.rewritten_paragraph("It shall be confirmed that the room is clean; the log shall be kept with care.").startswith("Confirm that the room is clean.")
-    assert R.verb_of("verified") == "verify" and R.verb_of("stopped") == "stop" and R.verb_of("calibrated") == "calibrate"
-    assert R.mark_vague("use an adequate amount") == "use an [DEFINE criterion: adequate] amount"
-    assert P.decision("If the seal is broken again, reject the whole container") == ("the seal is broken again", "reject the whole container")
-    assert P.decision("Record the time") is None
-    assert P.section_title("V. CLEANING OF THE ROOM") == "Cleaning of the Room"
+def value(spark, column):
+    return spark.range(1).select(column).first()[0]
+
+
+def test_rewriting_and_decisions(spark):
+    new = value(spark, R.rewritten_paragraph(F.lit("It shall be confirmed that the room is clean; the log shall be kept with care.")))
+    assert new.startswith("Confirm that the room is clean.")
+    verbs = [value(spark, R.verb_of(F.lit(w))) for w in ("verified", "stopped", "calibrated", "Utilized", "shown", "wiped", "filled")]
+    assert verbs == ["verify", "stop", "calibrate", "use", "shown", "wip", "fil"]
+    assert value(spark, R.mark_vague(F.lit("use an adequate amount"))) == "use an [DEFINE criterion: adequate] amount"
+    assert tuple(value(spark, P.decision(F.lit("If the seal is broken again, reject the whole container")))) == ("the seal is broken again", "reject the whole container")
+    assert value(spark, P.decision(F.lit("Record the time"))) is None
+    assert value(spark, P.section_title(F.lit("V. CLEANING OF THE ROOM"))) == "Cleaning of the Room"
+
+
+def test_rewritten_blocks(spark):
+    body = "| a | b |\n| c | d |\n\nROOM CLEANING\n\n4. The wall shall be wiped with care. 5. Record the time now.\n\nThe final log must be kept by the lead.\n\n1. Close the door."
+    text = value(spark, R.rewritten(F.lit(body)))
+    assert text == "| a | b |\n| c | d |\n\n\n## Room Cleaning\n\n1. Wip the wall with care.\n\n2. Record the time now.\n\nKept final log by the lead.\n\n3. Close the door."
+
+
+def test_blocks_of_steps(spark):
+    body = "Intro line\n\nHEAD ONE\n1. First step\n   goes on here\n\n2. Second step\nprose ends it\n3. Alone\n\n   not a part\nStep 7: again\n"
+    got = value(spark, P.step_blocks(F.lit(body)))
+    assert [(b["heading"], [(s["n"], s["text"]) for s in b["steps"]]) for b in got] == [
+        ("HEAD ONE", [(1, "First step goes on here"), (2, "Second step")]), ("prose ends it", [(3, "Alone")]), ("not a part", [(7, "again")])
+    ]
+    assert value(spark, P.step_blocks(F.lit(None).cast("string"))) == []
+    many = "Head\n" + "\n".join(f"{k}. Step number {k}" for k in range(1, 5001))
+    assert len(value(spark, P.longest_block(P.step_blocks(F.lit(many))))["steps"]) == 5000
 
 
 def test_sentences_and_dates(spark):
     df = spark.createDataFrame([("Use approx. 5 ml. See no. 4 here. \"Go\" (Now) now. x",), ("",)], "t string")
     got = [r[0] for r in df.select(T.sentences(F.col("t"))).collect()]
     assert got == [["Use approx. 5 ml.", "See no. 4 here.", '"Go" (Now) now. x'], []]
-    dates = spark.createDataFrame([("5 de marzo de 2024",), ("3/25/2024",), ("4/5/2024",), ("junk",)], "t string").select(T.parse_date(F.col("t")).alias("d")).collect()
-    assert [tuple(r["d"]) for r in dates] == [("2024-03-05", None), ("2024-03-25", None), ("2024-05-04", "day and month are ambiguous; read as day first"), (None, None)]
+    dates = spark.createDataFrame([("5 de marzo de 2024",), ("3/25/2024",), ("4/5/2024",), ("Marble 5, 2024",), ("Sept. 5, 2024",), ("junk",)], "t string").select(T.parse_date(F.col("t")).alias("d")).collect()
+    assert [tuple(r["d"]) for r in dates] == [("2024-03-05", None), ("2024-03-25", None), ("2024-05-04", "day and month are ambiguous; read as day first"), (None, None), ("2024-09-05", None), (None, None)]
 
 
 def test_cycles_and_empty_tables(spark, inputs):
