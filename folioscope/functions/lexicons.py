@@ -102,6 +102,12 @@ SUPERSEDED = {"ICH Q2(R1)": ("ICH Q2(R2)", "Q2(R1)"), "ICH Q9": ("ICH Q9(R1)", "
 SEVERITY = {"current": 0, "unknown": 1, "review": 2, "outdated": 3}
 # Frequent words by which a language is told.
 LANGUAGE_MARKS = {
-    "en": ("the", "and", "of", "to", "in", "is", "for", "with", "that", "shall", "be", "by"),
-    "es": ("el", "la", "de", "que", "y", "en", "los", "del", "las", "por", "con", "para"),
-}
+    "en": (
+        "the", "of", "and", "to", "in", "is", "are", "shall", "must", "be", "this", "that", "for", "with", "by", "as", "from", "procedure", "cleaning",
+        "personnel", "per",
+    ),
+    "es": (
+        "de", "la", "el", "los", "las", "que", "se", "debe", "deberan", "del", "para", "por", "con", "una", "un", "en", "y", "o", "procedimiento",
+        "limpieza", "personal", "segun", "conforme",
+    ),
+}

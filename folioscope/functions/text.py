@@ -6,6 +6,7 @@ Patterns are Java's; (?U) makes classes like \\w take all of Unicode.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable, Iterable
 from functools import reduce
 
@@ -167,13 +168,23 @@ def overdue(next_review: Column, as_of: str) -> Column:
     return F.coalesce(F.try_to_date(next_review, "yyyy-M-d") < F.to_date(F.lit(as_of)), F.lit(False))
 
 
-_ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇ"
-_PLAIN = "aaaaaaeeeeiiiiooooouuuuncAAAAAAEEEEIIIIOOOOOUUUUNC"
+def _decomposed() -> tuple[str, str]:
+    """Characters of all scripts that are a letter or sign with marks, or another form of
+    one, and what is left of them: by the rule of compatibility decomposition."""
+    pairs = []
+    for k in range(0x80, 0x10000):
+        left = "" if 0xD800 <= k < 0xE000 else "".join(c for c in unicodedata.normalize("NFKD", chr(k)) if not unicodedata.combining(c))
+        if len(left) == 1 and left != chr(k):
+            pairs.append((chr(k), left))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+_ACCENTED, _PLAIN = _decomposed()
 
 
 def strip_accents(text: Column) -> Column:
-    """Latin letters without their accents, in lower case."""
-    return F.lower(F.translate(text, _ACCENTED, _PLAIN))
+    """Letters without their accents, in lower case, in any script."""
+    return F.lower(F.regexp_replace(F.translate(text, _ACCENTED, _PLAIN), r"\p{M}+", ""))
 
 
 def canonical_unit(unit: Column) -> Column:
@@ -225,9 +236,12 @@ def masked_key(text: Column, id_pattern: str = L.DOCUMENT_ID_PATTERN) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(squeeze(text), id_pattern, "<ID>"), r"\d+", "#"))
 
 
+# Names of months.
 _MONTHS = {
-    "jan": 1, "ene": 1, "feb": 2, "mar": 3, "apr": 4, "abr": 4, "may": 5, "jun": 6, "jul": 7, "aug": 8, "ago": 8, "sep": 9, "set": 9,
-    "oct": 10, "nov": 11, "dec": 12, "dic": 12,
+    "jan": 1, "january": 1, "ene": 1, "enero": 1, "feb": 2, "february": 2, "febrero": 2, "mar": 3, "march": 3, "marzo": 3, "apr": 4, "april": 4,
+    "abr": 4, "abril": 4, "may": 5, "mayo": 5, "jun": 6, "june": 6, "junio": 6, "jul": 7, "july": 7, "julio": 7, "aug": 8, "august": 8, "ago": 8,
+    "agosto": 8, "sep": 9, "sept": 9, "september": 9, "septiembre": 9, "setiembre": 9, "oct": 10, "october": 10, "octubre": 10, "nov": 11,
+    "november": 11, "noviembre": 11, "dec": 12, "december": 12, "dic": 12, "diciembre": 12,
 }
 
 
@@ -238,7 +252,7 @@ def parse_date(text: Column) -> Column:
     months = F.create_map(*[F.lit(x) for pair in _MONTHS.items() for x in pair])
 
     def number(name: Column) -> Column:
-        return F.try_element_at(months, F.lower(F.substring(name, 1, 3)))
+        return F.try_element_at(months, F.lower(name))
 
     def made(year: Column, month: Column, day: Column) -> Column:
         return F.date_format(F.try_to_date(F.format_string("%s-%s-%s", year, month.cast("string"), day), "yyyy-M-d"), "yyyy-MM-dd")
