@@ -10,13 +10,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import lexicons as L
 from ..functions import text as T
 from ..operators import citations as K
 from ..operators import graph as G
-from ..operators import procedures as P
 from ..operators import quality as Q
 from ..operators import rewriting as R
 from ..operators import similarity as V
@@ -317,6 +315,10 @@ def g4_cycle_edges(spark, sf_dir):
 _REGISTER = (("EU GMP Annex 1", "2022 revision", "sterile", ("2008", "2003")), ("ISO 14644-1", "2015", "rooms", ("1999",)), ("ICH Q9(R1)", "R1 (2023)", "risk", ("2005",)))
 
 
+def citation_register(spark) -> DataFrame:
+    return spark.createDataFrame([(a, b, c, list(d)) for a, b, c, d in _REGISTER], "canonical string, current string, topic string, outdated array<string>")
+
+
 def part_documents(spark, sf_dir) -> DataFrame:
     size = F.col("p_size") % 3
     year = F.when(size == 0, "2022").when(size == 1, "2008").otherwise("2003")
@@ -332,8 +334,7 @@ def part_documents(spark, sf_dir) -> DataFrame:
   union all select sop_id, 'ISO 14644-1', case when k = 0 then 'outdated' else 'current' end, '2015' from p
   union all select sop_id, 'ICH Q9(R1)', 'outdated', 'R1 (2023)' from p union all select sop_id, 'PDA TR-60', 'unknown', '' from p""")
 def m05_citations(spark, sf_dir):
-    register = spark.createDataFrame([(a, b, c, list(d)) for a, b, c, d in _REGISTER], "canonical string, current string, topic string, outdated array<string>")
-    return K.citations(part_documents(spark, sf_dir), register).select("sop_id", "canonical", "status", "current_version")
+    return K.citations(part_documents(spark, sf_dir), citation_register(spark)).select("sop_id", "canonical", "status", "current_version")
 
 
 _BANDS = (("Small", "Brand#11", 1, 10), ("Large", "Brand#12", 100_000, 200_000), ("Fitting", "Brand#13", 1, 100_000), ("None", "Brand#99", 1, 5))
@@ -352,47 +353,11 @@ def o2_longest(spark, sf_dir):
     return Q.ranked(documents(spark, sf_dir).select("sop_id", F.size(T.words(F.col("body"))).alias("n_words")), "n_words", most=12)
 
 
-@query("""with l as (select page_id, unnest(string_split(html, chr(10))) as line from pages), k as (select distinct page_id, lower(regexp_replace(trim(line), '\\d+', '#', 'g')) as key from l where trim(line) <> ''),
-  n as (select count(*) as n from pages) select key, count(*)::bigint as n_pages from k, n group by key, n having count(*) >= greatest(2, 0.004 * n)""")
-def a10_recurring_lines(spark, sf_dir):
-    """Lines whose masked form recurs on many pages."""
-    pages = read(spark, sf_dir, "pages")
-    rows = pages.select("page_id", F.explode(F.split("html", "\n")).alias("line")).filter(F.trim("line") != "")
-    keys = rows.select("page_id", F.lower(F.regexp_replace(F.trim("line"), r"\d+", "#")).alias("key")).distinct()
-    counts = keys.groupBy("key").agg(F.count("*").alias("n_pages"))
-    return counts.join(F.broadcast(pages.agg(F.count("*").alias("n")))).filter("n_pages >= greatest(2, 0.004 * n)").select("key", "n_pages")
-
-
-@query("""with s as (select doc_id, case when toxic = 1 then 2 when quality = 0 then 1 else 0 end as severity from labels)
-  select source, max(coalesce(severity, 0))::int as worst, count(*) filter (severity = 2)::bigint as n_fail, count(*)::bigint as n from documents left join s using (doc_id) group by 1""")
-def a15_worst_status(spark, sf_dir):
-    labels = read(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0).alias("severity"))
-    rows = read(spark, sf_dir, "documents").select("doc_id", "source").join(labels, "doc_id", "left")
-    return rows.groupBy("source").agg(F.max(F.coalesce("severity", F.lit(0))).alias("worst"), F.count_if(F.col("severity") == 2).alias("n_fail"), F.count("*").alias("n"))
-
-
-@query("""select conv_id, turn, coalesce(role <> lag(role) over (partition by conv_id order by turn), true) as changed from conversations""")
-def w5_role_changes(spark, sf_dir):
-    before = F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(F.col("role") != before, F.lit(True)).alias("changed"))
-
-
 @query()
 def m07_scorecard(spark, sf_dir):
     docs = order_documents(spark, sf_dir).withColumn("next_review", F.lit("2025-01-01"))
-    none = docs.select("sop_id", F.lit("current").alias("status")).limit(0)
-    return Q.scorecard(docs, docs, none).select("sop_id", *[F.round(d, 6).alias(d) for d in Q.DIMENSIONS], F.round("overall", 6).alias("overall"), "status")
-
-
-@query()
-def m11_style(spark, sf_dir):
-    return Q.style(order_documents(spark, sf_dir)).select("sop_id", "heading_style", "dominant_modal", "verb_first_pct", "passive_per_100w", F.array_join("deviations", ",").alias("deviates_on"), "status")
-
-
-@query(f"""with {_ORDERS} select sop_id, count(*)::bigint as n_lines from o group by 1""")
-def s8_order_lines(spark, sf_dir):
-    rows = S.lines(order_documents(spark, sf_dir)).filter(F.col("line").rlike(r"^(\d+\. Record|Step|- verify)"))
-    return rows.groupBy("sop_id").agg(F.count("*").alias("n_lines"))
+    found = K.citations(docs.withColumn("body", F.concat("body", F.lit("\nPer ISO 14644-1:2015 and ICH Q9."))), citation_register(spark), text="body")
+    return Q.scorecard(docs, docs, found).select("sop_id", *[F.round(d, 6).alias(d) for d in Q.DIMENSIONS], F.round("overall", 6).alias("overall"), "status")
 
 
 @query()
@@ -401,11 +366,8 @@ def m06_rewrites(spark, sf_dir):
     return rows.select("sop_id", F.col("before.grade").alias("before_grade"), F.col("after.grade").alias("after_grade"), "after.flagged", "after.passive", "status")
 
 
-@query()
-def m10_flowcharts(spark, sf_dir):
-    return P.flowcharts(order_documents(spark, sf_dir)).select("sop_id", "section", "n_steps", "n_decisions", "pages_replaced", "status", "mermaid")
-
-
 @query()
 def m13_training(spark, sf_dir):
-    return TR.packages(order_documents(spark, sf_dir)).select("sop_id", F.size("steps").alias("n_steps"), "method", F.size("quiz").alias("n_questions"), "aids", "est_minutes", "status")
+    docs = order_documents(spark, sf_dir)
+    cited = K.citations(docs.withColumn("full_text", F.concat("full_text", F.lit("\nPer ISO 14644-1:2015 and ICH Q9."))), citation_register(spark))
+    return TR.packages(docs, cited).select("sop_id", F.size("steps").alias("n_steps"), "method", F.size("quiz").alias("n_questions"), "aids", "est_minutes", "status")
