@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import combine, compile_reverse, compile_rule, start_of
-from .common import as_bytes, binary_values, fresh
+from .common import as_bytes, binary_values, fresh, tidy
 
 
 @dataclass(frozen=True)
@@ -81,6 +81,18 @@ class Scanner:
         found.sort()
         return [(rule, start, end) for start, rule, end in found]
 
+    def redacted(self, data: bytes) -> str:
+        """The text with every span replaced by its kind; what overlaps goes with the first."""
+        found = self.scan(data)
+        if not found:
+            return data.decode("utf-8", "replace")
+        kept, at = [], 0
+        for rule, start, end in found:
+            if start >= at:
+                kept += [data[at:start], f"[{self.rules[rule].kind}]".encode()]
+            at = max(at, end)
+        return b"".join([*kept, data[at:]]).decode("utf-8", "replace")
+
     def spans(self, data: bytes) -> list[dict]:
         """kind, start, end in code points."""
         found = self.scan(data)
@@ -109,6 +121,7 @@ def find_secrets(docs: DataFrame, text: str = "text", spans: str = "spans", rule
     own = tuple(rules)
 
     @F.arrow_udf(_SPANS)
+    @tidy
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         machine = scanner(own)
         for texts in batches:
@@ -130,29 +143,23 @@ def redact(docs: DataFrame, text: str = "text", length: str | None = None, rules
     """docs with each secret replaced by [kind]; overlapping spans become one.
 
     length: a column that gets the new number of characters of texts that changed.
+    Each text is scanned and cut on its own, so that a task holds one batch of texts and
+    one text's spans. Null texts stay null; rows without secrets stay as they are.
     """
-    name = fresh(docs, "spans")
+    scanner(tuple(rules))  # a faulty rule fails here, not on the executors
+    own = tuple(rules)
 
     @F.arrow_udf("string")
-    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        out = []
-        for value, found in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
-            if value is None or not found:
-                out.append(value)
-                continue
-            kept, at = [], 0
-            for span in found:
-                if span["start"] >= at:
-                    kept += [value[at : span["start"]], f"[{span['kind']}]"]
-                at = max(at, span["end"])
-            out.append("".join([*kept, value[at:]]))
-        return pa.array(out, pa.string())
+    @tidy
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        machine = scanner(own)
+        for texts in batches:
+            yield pa.array((None if value is None else machine.redacted(value) for value in (v.as_py() for v in texts)), pa.string())
 
     new = fresh(docs, "redacted")
-    rows = find_secrets(docs, text, name, rules)
-    rows = rows.withColumn(new, cut.asNondeterministic()(F.col(f"`{text}`").cast("string"), F.col(name)))
+    rows = docs.withColumn(new, cut.asNondeterministic()(F.col(f"`{text}`").cast("string").cast("binary")))
     columns = {c: F.col(f"`{c}`") for c in docs.columns} | {text: F.col(new)}
     if length is not None and length in columns:
         kind = docs.schema[length].dataType
-        columns[length] = F.when(F.size(name) > 0, F.length(new).cast(kind)).otherwise(columns[length])
+        columns[length] = F.when(F.col(new).eqNullSafe(F.col(f"`{text}`").cast("string")), columns[length]).otherwise(F.length(new).cast(kind))
     return rows.select(*[value.alias(c) for c, value in columns.items()])
