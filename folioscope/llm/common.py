@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,12 +56,52 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder wherever Spark keeps it."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that nothing refers to any more."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
+#: Rows of a side that may be broadcast (ids and hashes, so tens of MB).
+MAX_BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """df, cut off, and marked for broadcast if it has this many rows at most; beyond
+    that the join shuffles."""
+    df = cut_lineage(df)
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def _trim() -> None:
+    """Give memory that nothing uses back to the system, as Python workers live on."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
+def tidy(task: Callable) -> Callable:
+    """A generator over Arrow batches that leaves its worker as small as it was."""
+
+    @functools.wraps(task)
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            _trim()
+
+    return run
+
+
 def binary_values(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
     """The values of a binary Arrow column, one at a time, null as empty."""
     for value in column:

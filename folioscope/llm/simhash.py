@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import as_bytes, binary_values, cut_lineage, fresh
+from .common import MAX_BROADCAST_ROWS, as_bytes, binary_values, broadcast_if_small, cut_lineage, fresh, tidy
 
 MAX_BITS = 4
 SHINGLE = 4
@@ -69,10 +69,51 @@ def fingerprint(text: bytes) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
+def wide_fingerprint(hashes: np.ndarray, longs: int = 4) -> np.ndarray:
+    """64 bits for each of ``longs`` mixings of the hashes, as signed numbers."""
+    out = np.zeros(longs, np.uint64)
+    for k in range(longs):
+        counts = np.zeros(64, np.int64)
+        for at in range(0, len(hashes), 65_536):
+            x = hashes[at : at + 65_536] + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (2**64 - 1))
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(31)
+            counts += np.unpackbits(x.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out[k] = int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
+    return out.view(np.int64)
+
+
+def ring_near(a: Column, b: Column, max_bits: int, longs: int = 4, width: int = 16) -> Column:
+    """Whether two wide fingerprints pass the pigeonring chains and then differ in at
+    most max_bits bits.
+
+    The bits are cut into a ring of segments. If max_bits differ at most, then from
+    some segment on the first l segments differ in at most l parts of the budget, for
+    every l; pairs without such a segment are dropped before all bits are counted.
+    """
+    m = longs * 64 // width
+    part = F.lit((1 << width) - 1)
+    counts = [F.bit_count(F.shiftrightunsigned(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k))), j).bitwiseAND(part)) for k in range(longs) for j in range(0, 64, width)]
+
+    def chained(d: Column) -> Column:
+        def holds(start: Column) -> Column:
+            def step(s: Column, n: Column) -> Column:
+                total = s["total"] + F.get(d, (start + n - 1) % m)
+                return F.struct(total.alias("total"), (s["ok"] & (total * m <= n * max_bits)).alias("ok"))
+
+            return F.aggregate(F.sequence(F.lit(1), F.lit(m)), F.struct(F.lit(0).alias("total"), F.lit(True).alias("ok")), step, lambda s: s["ok"])
+
+        return F.exists(F.sequence(F.lit(0), F.lit(m - 1)), holds) & (F.aggregate(d, F.lit(0), lambda x, y: x + y) <= max_bits)
+
+    return F.get(F.transform(F.array(F.array(*counts)), chained), F.lit(0))
+
+
 def fingerprint_column(text: str) -> Column:
     """The fingerprint as a signed long."""
 
     @F.arrow_udf("long")
+    @tidy
     def compute(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             values = np.array([fingerprint(v) for v in binary_values(texts)], np.uint64)
@@ -159,13 +200,17 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     return prints.join(components(prints), "fp").select("id", F.col("fp").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def keep_one_each(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the row of the smallest id of each component, columns unchanged.
+def keep_one_each(docs: DataFrame, id: str = "doc_id", text: str = "text", max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """docs with the rows of the smallest id of each component, columns unchanged.
 
-    Rows with a null id have no smaller id to yield to and are kept; of rows that
-    repeat an id that is kept, all are kept (they are one document's rows).
+    A row goes if its id isn't its component's, whatever becomes of other rows of the
+    same id. Rows with a null id have no smaller id to yield to and are kept; rows that
+    repeat the id and the fingerprint of a row that stays, stay.
     """
+    marks = fresh(docs, "print")
+    rows = docs.withColumn(marks, fingerprint_column(f"`{text}`"))
     found = near_duplicates(docs, id, text)
-    name = fresh(docs, "gone")
-    gone = found.filter(F.col("id") != F.col("component_id")).select(F.col("id").alias(name)).distinct()
-    return docs.join(gone, F.col(f"`{id}`") == F.col(name), "left_anti")
+    gone = found.filter(F.col("id") != F.col("component_id")).select(F.col("id").alias("gone_id"), F.col("fingerprint").alias("gone_print")).distinct()
+    names = {c: fresh(rows, c) for c in gone.columns}
+    gone = broadcast_if_small(gone, max_rows).withColumnsRenamed(names)
+    return rows.join(gone, (F.col(f"`{id}`") == F.col(names["gone_id"])) & (F.col(marks) == F.col(names["gone_print"])), "left_anti").drop(marks)

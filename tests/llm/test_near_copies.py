@@ -2,8 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from folioscope.llm import nearcopies
+from folioscope.llm import nearcopies, simhash
 
 
 def test_stage_joins_all_pairs_from_four_fifths_on(spark):
@@ -38,9 +40,35 @@ def test_stage_joins_all_pairs_from_four_fifths_on(spark):
 
 
 def test_null_and_repeated_ids(spark):
+    """Rows are decided one by one: a text whose only row is under a repeated id stays."""
     base = [f"w{k}" for k in range(100)]
     near = " ".join([*base[:95], "x", *base[96:]])
-    rows = [(None, " ".join(base)), (3, near), (5, " ".join(base)), (5, "another text under an id that goes"), (7, "alone")]
+    rows = [(None, " ".join(base)), (3, near), (5, " ".join(base)), (5, "another text under an id that goes elsewhere"), (7, "alone")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(str(r["doc_id"]) for r in nearcopies.keep_one_each(docs).collect()) == ["3", "7", "None"]
+    kept = nearcopies.keep_one_each(docs).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == [("3", near), ("5", rows[3][1]), ("7", "alone"), ("None", " ".join(base))]
     assert nearcopies.keep_one_each(docs.limit(0)).count() == 0
+
+
+def test_repeated_ids_lose_no_text(spark):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    docs = spark.createDataFrame([(5, a, 1), (9, a, 2), (5, b, 3), (2, b, 4)], "doc_id long, text string, gone_id int")
+    for keep in (nearcopies.keep_one_each, simhash.keep_one_each):
+        kept = keep(docs)
+        assert kept.columns == docs.columns
+        assert sorted((r["doc_id"], r["gone_id"]) for r in kept.collect()) == [(2, 4), (5, 1)]
+
+
+def test_wide_chains_keep_what_the_budget_keeps(spark):
+    """A pair passes exactly if it is within the budget: chains lose nothing."""
+    rng = random.Random(3)
+    rows = []
+    for k in range(200):
+        x = rng.getrandbits(256)
+        y = x
+        for bit in rng.sample(range(256), rng.randint(60, 130)):
+            y ^= 1 << bit
+        rows.append((k, bin(x ^ y).count("1"), *[[int.from_bytes((v >> (64 * j) & (2**64 - 1)).to_bytes(8, "big"), "big", signed=True) for j in range(4)] for v in (x, y)]))
+    got = spark.createDataFrame([(k, d, [v - 2**64 if v >= 2**63 else v for v in x], [v - 2**64 if v >= 2**63 else v for v in y]) for k, d, x, y in rows], "k int, d int, x array<long>, y array<long>")
+    found = got.select("d", simhash.ring_near(F.col("x"), F.col("y"), 96).alias("near")).collect()
+    assert all(r["near"] == (r["d"] <= 96) for r in found) and 20 < sum(r["near"] for r in found) < 180
