@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; a temporary one only where none is set."""
+    """Use the folder that the cluster shares; a temporary one only in a local session
+    that names none. On a cluster a folder of one machine would lose data, so there an
+    unset folder is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", "") or ""
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
+#: Rows of a side that may be broadcast (ids, names and short texts: tens of MB).
+MAX_BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """df, marked for broadcast if it has this many rows at most; beyond that a join shuffles."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -104,6 +104,24 @@ def english(docs: DataFrame) -> DataFrame:
     return docs.filter(F.col("language") == "en")
 
 
+def has_documents(spark: SparkSession, folder: str) -> bool:
+    """Whether a folder, wherever Spark can reach it, is there and holds documents."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return there.exists(path) and not read_files(spark, folder).isEmpty()
+
+
+def choose_folder(spark: SparkSession, given: str | None, own: str, sample: str) -> str:
+    """The folder that is given; else one's own if it holds documents; else the sample."""
+    return given or (own if has_documents(spark, own) else sample)
+
+
+def statistics(docs: DataFrame) -> DataFrame:
+    """One row: documents, english, others, departments."""
+    english_ = F.count_if(F.col("language") == "en")
+    return docs.agg(F.count("*").alias("documents"), english_.alias("english"), (F.count("*") - english_).alias("others"), F.count_distinct("department").alias("departments"))
+
+
 # --- configuration ---------------------------------------------------------------
 
 _TOPICS = "struct<topics:array<struct<topic:string,dept:string,expected_min:int,expected_max:int>>>"
@@ -133,6 +151,12 @@ def coverage_bands(config: DataFrame) -> DataFrame:
     return config.select(F.posexplode(topics).alias("pos", "t")).select("pos", "t.*")
 
 
+def duplicate_groups(config: DataFrame) -> DataFrame:
+    """group, member of the near-duplicate groups that a manifest names."""
+    groups = F.from_json(F.col("config")["near_duplicate_groups"], "array<struct<`group`:string,members:array<string>>>")
+    return config.select(F.explode(groups).alias("g")).select(F.col("g.group").alias("group"), F.explode("g.members").alias("member")).distinct()
+
+
 def regulations(config: DataFrame) -> DataFrame:
     """canonical, current, topic, supersedes, outdated; entries that are no objects go."""
     entries = config.select(F.explode(F.from_json(F.col("config")["regulatory_current_versions"], "map<string,string>")).alias("canonical", "value"))

@@ -135,6 +135,32 @@ def test_sinks_and_stream(spark, inputs, folder, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").filter("sop_id like 'SOP%'").count() == 4
 
 
+def test_commands(spark, folder, tmp_path, capsys):
+    from folioscope import cli
+
+    assert cli.main(["list"]) == 0 and "m07_scorecard" in capsys.readouterr().out
+    assert cli.main(["run", "--docs", f"{tmp_path}/none", "--out", f"{tmp_path}/o"], spark) == 1
+    assert cli.main(["run", "--docs", folder, "--module", "77", "--out", f"{tmp_path}/o"], spark) == 1
+    for number in ("3", "11"):  # the second run keeps what the first one said
+        assert cli.main(["run", "--docs", folder, "--module", number, "--out", f"{tmp_path}/o"], spark) == 0
+    told = spark.read.json(f"{tmp_path}/o/results.json")
+    assert {r["module"] for r in told.select("module").distinct().collect()} == {"m03_readability", "m11_style"}
+    pages = spark.read.text(f"{tmp_path}/o/dossiers", wholetext=True)
+    assert pages.filter("value like '%m03_readability%' and value like '%m11_style%'").count() == 3
+    assert "<td>m11_style</td>" in spark.read.text(f"{tmp_path}/o/dashboard", wholetext=True).first()[0]
+
+
+def test_groups_and_ranks(spark):
+    from folioscope.operators import similarity as V
+
+    pairs = spark.createDataFrame([("a", "b"), ("a", "c"), ("c", "d")], "a string, b string")
+    groups = spark.createDataFrame([("g", "a"), ("g", "b"), ("h", "c"), ("h", "d"), ("i", "d"), ("i", "c")], "group string, member string")
+    assert {(r["a"], r["b"]): r["group"] for r in V.in_one_group(pairs, groups).collect()} == {("a", "b"): "g", ("a", "c"): None, ("c", "d"): "h"}
+    rows = spark.createDataFrame([(k, k % 7) for k in range(100)], "sop_id int, v int")
+    got = {r["sop_id"]: r["rank"] for r in Q.with_ranks(rows.repartition(5), "v").collect()}
+    assert got == {k: n for n, k in enumerate(sorted(range(100), key=lambda k: (-(k % 7), k)), 1)}
+
+
 def test_queries_import_without_training_data_operators():
     import __spark_entry__ as entry
 
