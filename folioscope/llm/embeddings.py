@@ -15,15 +15,22 @@ centred codes, random rotations without centring are tried, as vectors that shar
 direction fall apart when it is removed. Where no codes reach it, or they would
 compare more pairs than there are, every pair is compared.
 
+Tables hold codes and ids only. A bucket first counts the differing bits of its codes,
+and just those of its vectors that have another one within ``radius`` bits go on with
+their components; radius is the least one that loses none of the sample's pairs, and
+it is part of the measured recall. Substrings are as wide as the number of vectors
+and recall allow (``bits``, or more for over 2**21 vectors), so buckets stay small.
+
 No pair leaves the executors: a bucket yields how many partners each vector has
 and a spanning forest of its links. Buckets larger than ``block`` vectors are cut
-into blocks that are compared block by block as separate groups.
+into blocks that are compared block by block as separate groups, a few rows at a time.
 
 Exact copies are one vector with a multiplicity. Vectors that are null, empty or
-zero, hold null or non-finite components, or have another length than most of the
-sample link with nothing. Rows that repeat an id with other vectors are one
-vertex: their links are added up. Rows with a null id link with nothing. An empty
-table gives no rows; other columns are ignored.
+zero, or hold null or non-finite components link with nothing. Vectors of different
+lengths don't link; those of another length than most of the sample are compared with
+all of their length. Rows that repeat an id with other vectors are one vertex: their
+links are added up. Rows with a null id link with nothing. Ties at the threshold link.
+An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import cut_lineage
+from .common import cut_lineage, tidy
 
 COSINE = 0.95
 MAX_SAMPLE = 8_000
@@ -46,6 +53,8 @@ CODE_BITS = 64
 BITS = 16
 BLOCK = 2_048
 _FEW = 32
+#: Rows of a block that are compared at a time.
+_CHUNK = 256
 LEAST_RECALL = 0.999
 MOST_ROTATIONS = 24
 _MOST_LINKS = 200_000
@@ -55,32 +64,67 @@ class Codes:
     """Learned on unit vectors: a mean, and rotations after principal components.
 
     Not centred, the rotations are random; without rotations all vectors share the
-    one bucket of one table."""
+    one bucket of one table. radius: differing bits up to which vectors are reranked."""
 
-    def __init__(self, sample: np.ndarray, rotations: int = ROTATIONS, rounds: int = 15, seed: int = 7, centred: bool = True):
+    def __init__(self, sample: np.ndarray, rotations: int = ROTATIONS, rounds: int = 15, seed: int = 7, centred: bool = True, bits: int = BITS):
         self.mean = sample.mean(axis=0) if centred else np.zeros(sample.shape[1])
         rounds = rounds if centred else 0
         centred = sample - self.mean
         _, axes = np.linalg.eigh(centred.T @ centred)
-        width = min(CODE_BITS, sample.shape[1])
-        projected = centred @ axes[:, ::-1][:, :width]
+        self.width = min(CODE_BITS, sample.shape[1])
+        self.bits = min(bits, self.width)
+        self.radius = self.width
+        projected = centred @ axes[:, ::-1][:, : self.width]
         rng = np.random.default_rng(seed)
         self.maps = []
         for _ in range(rotations):
-            turn = np.linalg.qr(rng.standard_normal((width, width)))[0]
+            turn = np.linalg.qr(rng.standard_normal((self.width, self.width)))[0]
             for _ in range(rounds):
                 left, _, right = np.linalg.svd(np.where(projected @ turn >= 0, 1.0, -1.0).T @ projected)
                 turn = (left @ right).T
-            self.maps.append(axes[:, ::-1][:, :width] @ turn)
-
-    def keys(self, vectors: np.ndarray, bits: int = BITS) -> np.ndarray:
-        """A row per vector, the substring for each table."""
-        columns = [] if self.maps else [np.zeros(len(vectors), np.int64)]
-        for m in self.maps:
-            signs = ((vectors - self.mean) @ m >= 0).astype(np.int64)
-            for at in range(0, signs.shape[1] - bits + 1, bits):
-                columns.append(signs[:, at : at + bits] @ (1 << np.arange(bits, dtype=np.int64)))
-        return np.stack(columns, axis=1)
+            self.maps.append(axes[:, ::-1][:, : self.width] @ turn)
+
+    @property
+    def pieces(self) -> int:
+        """Tables of one rotation."""
+        return self.width // self.bits if self.maps else 1
+
+    @property
+    def tables(self) -> int:
+        return self.pieces * max(1, len(self.maps))
+
+    def of(self, vectors: np.ndarray) -> np.ndarray:
+        """A row per vector, the code of each rotation."""
+        if not self.maps:
+            return np.zeros((len(vectors), 1), np.uint64)
+        weights = np.uint64(1) << np.arange(self.width, dtype=np.uint64)
+        return np.stack([((vectors - self.mean) @ m >= 0).astype(np.uint64) @ weights for m in self.maps], axis=1)
+
+    def keys(self, codes: np.ndarray) -> np.ndarray:
+        """A row per row of codes, the substring for each table."""
+        shifts = np.arange(self.pieces, dtype=np.uint64) * np.uint64(self.bits)
+        mask = np.uint64((1 << self.bits) - 1)
+        return ((codes[:, :, None] >> shifts) & mask).reshape(len(codes), -1).astype(np.int64)
+
+    def first_table(self, a: np.ndarray, b: np.ndarray, most: int | None = None) -> np.ndarray:
+        """The first table that holds both of each pair of code rows in one bucket within
+        the radius, or the number of tables. most: tables from there on aren't asked."""
+        first = np.full(len(a), self.tables, np.int64)
+        for t in reversed(range(self.tables if most is None else most)):
+            differing = a[:, t // self.pieces] ^ b[:, t // self.pieces]
+            same = (differing >> np.uint64(t % self.pieces * self.bits)) & np.uint64((1 << self.bits) - 1) == 0
+            first[same & (np.bitwise_count(differing) <= self.radius)] = t
+        return first
+
+    def least_distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The fewest differing bits of each pair in a rotation with a common bucket; the
+        width plus 1 without one."""
+        least = np.full(len(a), self.width + 1, np.int64)
+        for t in range(self.tables):
+            differing = a[:, t // self.pieces] ^ b[:, t // self.pieces]
+            same = (differing >> np.uint64(t % self.pieces * self.bits)) & np.uint64((1 << self.bits) - 1) == 0
+            least = np.where(same, np.minimum(least, np.bitwise_count(differing)), least)
+        return least
 
 
 def _tests(sample: np.ndarray, cosine: float) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -109,30 +153,36 @@ def _tests(sample: np.ndarray, cosine: float) -> list[tuple[np.ndarray, np.ndarr
 
 
 def fit(sample: np.ndarray, cosine: float = COSINE, rotations: int = ROTATIONS, bits: int = BITS) -> Codes:
-    """The codes with the fewest rotations that find enough of the sample's pairs, or
-    codes that have every pair compared."""
+    """The codes with the widest substrings and the fewest rotations that find enough of
+    the sample's pairs, or codes that have every pair compared."""
     tests = _tests(sample, cosine)
 
-    def recall(codes: Codes) -> float:
-        found = []
+    def measured(codes: Codes) -> float:
+        """Recall of the worst kind of pairs; sets the radius to what loses none that is met."""
+        recalls, farthest = [], 0
         for a, b in tests:
-            hits = [(codes.keys(a[k : k + 8_192], bits) == codes.keys(b[k : k + 8_192], bits)).any(axis=1).sum() for k in range(0, len(a), 8_192)]
-            found.append(sum(hits) / len(a))
-        return min(found, default=1.0)
+            found = np.concatenate([codes.least_distance(codes.of(a[k : k + 8_192]), codes.of(b[k : k + 8_192])) for k in range(0, len(a), 8_192)])
+            met = found <= codes.width
+            recalls.append(met.mean())
+            farthest = max(farthest, int(found[met].max(initial=0)))
+        codes.radius = farthest
+        return min(recalls, default=1.0)
 
     def compared(codes: Codes) -> float:
         """Pairs of one bucket in all tables, as a share of all pairs."""
-        keys = codes.keys(sample, bits)
+        keys = codes.keys(codes.of(sample))
         sizes = np.concatenate([np.unique(column, return_counts=True)[1] for column in keys.T]).astype(np.float64)
         return float((sizes * (sizes - 1)).sum() / max(1, len(sample) * (len(sample) - 1)))
 
-    while 0 < rotations <= MOST_ROTATIONS:
-        tried = [codes for codes in (Codes(sample, rotations), Codes(sample, rotations, centred=False)) if recall(codes) >= LEAST_RECALL]
-        if tried:
-            best = min(tried, key=compared)
-            if compared(best) < 1:
-                return best
-        rotations *= 2
+    for width in sorted({bits, *range(BITS, bits, 4)}, reverse=True):
+        number = rotations
+        while 0 < number <= MOST_ROTATIONS:
+            tried = [codes for codes in (Codes(sample, number, bits=width, centred=c) for c in (True, False)) if measured(codes) >= LEAST_RECALL]
+            if tried:
+                best = min(tried, key=compared)
+                if compared(best) < 1:
+                    return best
+            number *= 2
     return Codes(sample, 0)
 
 
@@ -147,27 +197,130 @@ def _usable(vector: str):
     return v.isNotNull() & (F.size(v) > 0) & F.coalesce(finite, F.lit(False)) & F.exists(v, lambda x: x != 0)
 
 
-def _entries(codes: Codes, bits: int):
+def _coded(codes: Codes):
+    @tidy
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            flat = batch.column(2).flatten().to_numpy(zero_copy_only=False)
-            keys = codes.keys(_unit(flat.reshape(n, -1)), bits)
-            tables = keys.shape[1]
-            own = np.repeat(np.arange(n), tables)
-            packed = pa.array([row.astype("<i4").tobytes() for row in keys], pa.binary())
-            raw = pa.array([row.tobytes() for row in flat.reshape(n, -1).astype("<f8")], pa.binary())
-            index = pa.array(own)
-            yield pa.record_batch(
-                [pa.array(np.tile(np.arange(tables, dtype=np.int32), n)), pa.array(keys.reshape(-1)), batch.column(0).take(index), batch.column(1).take(index), packed.take(index), raw.take(index)],
-                names=["t", "key", "node", "copies", "keys", "vector"],
-            )
+            for at in range(0, batch.num_rows, 1_024):
+                part = batch.slice(at, 1_024)
+                flat = part.column(1).flatten().to_numpy(zero_copy_only=False)
+                found = codes.of(_unit(flat.reshape(part.num_rows, -1)))
+                packed = pa.array([row.astype("<u8").tobytes() for row in found], pa.binary())
+                yield pa.record_batch([part.column(0), packed], names=["node", "codes"])
 
     return code
 
 
+def _entries(codes: Codes):
+    """t, key, node, code: a row per vector and table, code in that table's rotation."""
+
+    @tidy
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1_024):
+                part = batch.slice(at, 1_024)
+                n = part.num_rows
+                found = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u8").reshape(n, -1)
+                keys, tables = codes.keys(found), np.tile(np.arange(codes.tables, dtype=np.int32), n)
+                own = np.repeat(np.arange(n), codes.tables)
+                yield pa.record_batch(
+                    [pa.array(tables), pa.array(keys.reshape(-1)), part.column(0).take(pa.array(own)), pa.array(found[own, tables // codes.pieces].view(np.int64))],
+                    names=["t", "key", "node", "code"],
+                )
+
+    return deal
+
+
+@tidy
+def _bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column's lists of numbers as bytes."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1_024):
+            part = batch.slice(at, 1_024)
+            lists = [np.asarray(v.values.to_numpy(zero_copy_only=False), "<f8").tobytes() for v in part.column(3)]
+            yield pa.record_batch([*part.columns[:3], pa.array(lists, pa.binary())], names=["node", "copies", "codes", "vector"])
+
+
+def _blocks(entries: DataFrame, block: int, *columns: str) -> DataFrame:
+    """entries by group (a bucket, or two blocks of a large one); side is 0 for a block
+    that is compared with itself, or tells the blocks of a pair apart."""
+    large = entries.groupBy("t", "key").agg(F.count("*").alias("n")).filter(F.col("n") > block)
+    large = large.select("t", "key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    entries = entries.join(large, ["t", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    entries = entries.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    entries = entries.select("t", "key", "node", *columns, "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    group = F.xxhash64("t", "key", F.least("own", "other"), F.greatest("own", "other"))
+    entries = entries.select(group.alias("group"), "t", "key", side.alias("side"), "node", *columns)
+    return entries.repartition("group").sortWithinPartitions("group", "t", "key", "side")
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole groups, from rows sorted by group."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        rest = table if rest is None else pa.concat_tables([rest, table])
+        group = rest["group"].to_numpy()
+        whole = int(np.searchsorted(group, group[-1]))  # the last group may go on
+        if whole:
+            yield rest.slice(0, whole)
+            rest = rest.slice(whole)
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def _rectangles(table: pa.Table, near) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs i, j of one group for which near(i, j, square) holds, a bounded number
+    at a time. Rows of side 0 meet all later ones of their group, others only the other
+    side. near(i, j, square): of two index arrays, each with each if square."""
+    names = [table[c].to_numpy() for c in ("group", "t", "key")]
+    side = table["side"].to_numpy()
+    n = table.num_rows
+    new = np.ones(n + 1, bool)
+    new[1:-1] = np.logical_or.reduce([x[1:] != x[:-1] for x in names])
+    edges = np.flatnonzero(new)
+    sizes = np.diff(edges)
+    number = np.repeat(np.arange(len(sizes)), sizes)
+    few = np.repeat(sizes <= _FEW, sizes)
+    for shift in range(1, min(_FEW, n)):
+        i = np.flatnonzero(few[:-shift] & (number[:-shift] == number[shift:]) & ((side[:-shift] == 0) | (side[:-shift] != side[shift:])))
+        if not len(i):
+            continue
+        for at in range(0, len(i), _CHUNK * 256):
+            part = i[at : at + _CHUNK * 256]
+            hit = near(part, part + shift, False)
+            yield part[hit], part[hit] + shift
+    for k in np.flatnonzero(sizes > _FEW):
+        rows = np.arange(edges[k], edges[k + 1])
+        across = side[rows[0]] != 0
+        left, right = (rows[side[rows] == 1], rows[side[rows] == 2]) if across else (rows, rows)
+        for at in range(0, len(left), _CHUNK):
+            i, j = left[at : at + _CHUNK], right if across else right[at:]
+            if not len(j):
+                continue
+            hit = near(i, j, True)
+            x, y = np.nonzero(hit if across else np.triu(hit, 1))
+            yield i[x], j[y]
+
+
+def _close(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """t, key, node of entries whose code has another one within radius in its bucket."""
+    for table in _whole_groups(batches):
+        code = table["code"].to_numpy().view(np.uint64)
+        flagged = np.zeros(table.num_rows, bool)
+
+        def near(i: np.ndarray, j: np.ndarray, square: bool, code: np.ndarray = code) -> np.ndarray:
+            return np.bitwise_count(code[i][:, None] ^ code[j] if square else code[i] ^ code[j]) <= radius
+
+        for i, j in _rectangles(table, near):
+            flagged[i] = flagged[j] = True
+        found = table.filter(pa.array(flagged)).select(["t", "key", "node"]).combine_chunks()
+        yield from found.to_batches()
+
+
 def _forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links (member, smallest member) of the components of links i-j among n."""
     label = np.arange(n)
@@ -186,47 +339,43 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return member, label[member]
 
 
-def _first_table(keys: np.ndarray, t: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether table t is the first one that has both of each pair in one bucket."""
-    return (keys[i] == keys[j]).argmax(axis=1) == t
+def _compare(batches: Iterator[pa.RecordBatch], codes: Codes, cosine: float) -> Iterator[pa.RecordBatch]:
+    """Yields (node, links, other): partners counted, or a link.
 
-
-def _compare(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by group; a group is compared within itself, or its first block
-    with its second. Yields (node, links, other): partners counted, or a link."""
-    rest: pa.Table | None = None
-
-    def work(table: pa.Table) -> pa.RecordBatch:
+    A pair counts in the first table that holds it. Vectors of fewer components than
+    others of a batch are filled up with zeros, which changes no cosine; groups hold
+    vectors of one length."""
+    for table in _whole_groups(batches):
         n = table.num_rows
-        group, t = table["group"].to_numpy(), table["t"].to_numpy()
-        side, copies = table["side"].to_numpy(), table["copies"].to_numpy()
-        vectors = _unit(np.frombuffer(b"".join(table["vector"].to_pylist()), "<f8").reshape(n, -1))
-        keys = np.frombuffer(b"".join(table["keys"].to_pylist()), "<i4").reshape(n, -1)
-        edges = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
-        sizes = np.diff(edges)
-        pairs_i, pairs_j = [], []
-        few = np.repeat(sizes <= _FEW, sizes)
-        for shift in range(1, min(_FEW, n)):
-            i = np.flatnonzero(few[:-shift] & (group[:-shift] == group[shift:]))
+        t, copies = table["t"].to_numpy(), table["copies"].to_numpy()
+        parts = [np.frombuffer(v, "<f8") for v in table["vector"].to_pylist()]
+        vectors = np.zeros((n, max(map(len, parts))))
+        for k, part in enumerate(parts):
+            vectors[k, : len(part)] = part
+        vectors = _unit(vectors)
+        own = np.frombuffer(b"".join(table["codes"].to_pylist()), "<u8").reshape(n, -1)
+        partners, members, labels = np.zeros(n), [], []
+
+        def near(i: np.ndarray, j: np.ndarray, square: bool, vectors: np.ndarray = vectors) -> np.ndarray:
+            return (vectors[i] @ vectors[j].T if square else np.einsum("ij,ij->i", vectors[i], vectors[j])) >= cosine
+
+        for i, j in _rectangles(table, near):
+            least = t[i]
+            inside = least < codes.tables  # the table of other lengths stands alone
+            first = least.astype(np.int64).copy()
+            if inside.any():
+                first[inside] = codes.first_table(own[i[inside]], own[j[inside]], int(least[inside].max()) + 1)
+            i, j = i[first == least], j[first == least]
             if not len(i):
-                break
-            near = np.einsum("ij,ij->i", vectors[i], vectors[i + shift]) >= cosine
-            pairs_i.append(i[near])
-            pairs_j.append(i[near] + shift)
-        for k in np.flatnonzero(sizes > _FEW):
-            a, b = edges[k], edges[k + 1]
-            i, j = np.nonzero(np.triu(vectors[a:b] @ vectors[a:b].T >= cosine, 1))
-            pairs_i.append(i + a)
-            pairs_j.append(j + a)
-        i, j = (np.concatenate(p) if p else np.zeros(0, np.int64) for p in (pairs_i, pairs_j))
-        # side 0: one block with itself; sides 1 and 2: only pairs across the blocks
-        keep = ((side[i] == 0) | (side[i] != side[j])) & _first_table(keys, t[i], i, j)
-        i, j = i[keep], j[keep]
-        partners = np.bincount(i, copies[j], n) + np.bincount(j, copies[i], n)
+                continue
+            partners += np.bincount(i, copies[j], n) + np.bincount(j, copies[i], n)
+            member, label = _forest(n, i, j)
+            members.append(member)
+            labels.append(label)
         has = np.flatnonzero(partners)
-        member, label = _forest(n, i, j)
+        member, label = _forest(n, np.concatenate([np.zeros(0, np.int64), *members]), np.concatenate([np.zeros(0, np.int64), *labels]))
         node = table["node"].combine_chunks()
-        return pa.record_batch(
+        yield pa.record_batch(
             [
                 pa.concat_arrays([node.take(pa.array(has)), node.take(pa.array(member))]),
                 pa.array(np.concatenate((partners[has].astype(np.int64), np.zeros(len(member), np.int64)))),
@@ -235,17 +384,6 @@ def _compare(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.Re
             names=["node", "links", "other"],
         )
 
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        rest = table if rest is None else pa.concat_tables([rest, table])
-        group = rest["group"].to_numpy()
-        whole = int(np.searchsorted(group, group[-1])) if len(group) else 0  # the last group may go on
-        if whole:
-            yield work(rest.slice(0, whole))
-            rest = rest.slice(whole)
-    if rest is not None and rest.num_rows:
-        yield work(rest)
-
 
 def near_duplicates(
     rows: DataFrame,
@@ -267,26 +405,26 @@ def near_duplicates(
     if not sample:
         return own.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     width = Counter(len(v) for v in sample).most_common(1)[0][0]
-    bits = min(bits, width)
-    codes = fit(_unit(np.array([v for v in sample if len(v) == width], np.float64)), cosine, rotations, bits)
-
-    coded = nodes.filter(F.size("vector") == width)
-    entries = coded.mapInArrow(_entries(codes, bits), "t int, key long, node long, copies long, keys binary, vector binary")
-    large = entries.groupBy("t", "key").agg(F.count("*").alias("n")).filter(F.col("n") > block)
-    large = large.select("t", "key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    entries = entries.join(large, ["t", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    entries = entries.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    entries = entries.select("t", "key", "node", "copies", "keys", "vector", "own", others)
-    entries = entries.withColumn("side", F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2))
-    entries = entries.withColumn("group", F.xxhash64("t", "key", F.least("own", "other"), F.greatest("own", "other")))
-    entries = entries.select("group", "t", "side", "node", "copies", "keys", "vector").repartition("group").sortWithinPartitions("group", "t", "side")
-    found = entries.mapInArrow(lambda b: _compare(b, cosine), "node long, links long, other long")
-    found = cut_lineage(found)
+    n = nodes.count()
+    bits = max(bits, min(32, (n - 1).bit_length() - 5))  # about 32 vectors a bucket
+    codes = fit(_unit(np.array([v for v in sample if len(v) == width], np.float64)), cosine, rotations, min(bits, width))
+
+    usual = nodes.filter(F.size("vector") == width).select("node", "vector")
+    coded = cut_lineage(usual.mapInArrow(_coded(codes), "node long, codes binary"))
+    entries = coded.mapInArrow(_entries(codes), "t int, key long, node long, code long")
+    close = _blocks(entries, block, "code").mapInArrow(tidy(lambda b: _close(b, codes.radius)), "t int, key long, node long")
+    close = cut_lineage(close.distinct())
+    known = nodes.join(coded, "node", "left")
+    others = F.size("vector") != width
+    rows = close.union(nodes.filter(others).select(F.lit(codes.tables).alias("t"), F.size("vector").cast("long").alias("key"), "node"))
+    packed = F.coalesce("codes", F.lit(bytes(8 * max(1, len(codes.maps)))))
+    rows = rows.join(known.select("node", "copies", packed.alias("codes"), "vector").mapInArrow(_bytes_of, "node long, copies long, codes binary, vector binary"), "node")
+    rows = _blocks(rows, block, "copies", "codes", "vector")
+    found = cut_lineage(rows.mapInArrow(tidy(lambda b: _compare(b, codes, cosine)), "node long, links long, other long"))
 
     counts = found.filter("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     labels = connected_components(found.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    known = coded.select("node", "copies", "vector").join(counts, "node", "left").join(labels, "node", "left")
+    known = nodes.join(counts, "node", "left").join(labels, "node", "left")
     known = known.select(
         "vector",
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
