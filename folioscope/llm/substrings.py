@@ -25,6 +25,9 @@ Windows are compared by 64 bits or more of their hashes, not by position in one
 global suffix order: sorting all suffixes of the dictionary would move each byte
 many times over.
 
+Long texts are parsed and hashed in pieces of 1 MB, so memory doesn't follow their
+length.
+
 Defined results: null and empty texts have no bytes; a document shorter than the
 window loses nothing; rows that repeat an id don't remove each other's text; rows
 with a null id have no smaller or larger ones and lose nothing; identical rows get
@@ -43,7 +46,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut_lineage, release
+from .common import as_bytes, cut_lineage, release, tidy
 
 WINDOW = 50
 GRAM = 16
@@ -271,6 +274,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[
 
 
 def _parsed(docs: DataFrame, groups: int, buckets: int, window: int, gram: int) -> DataFrame:
+    @tidy
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
@@ -280,7 +284,13 @@ def _parsed(docs: DataFrame, groups: int, buckets: int, window: int, gram: int)
             return _sent(rows, groups, rows["trigger"], _runs(rest), buckets)
 
         for doc, text, values in _texts(batches):
-            held.append(parse(np.array(doc, np.int64), np.array(text, np.uint32), values, window, gram))
+            for at in range(0, max(map(len, values)), _PIECE_BYTES):
+                # of a long text, the windows that begin in this piece; a phrase that is
+                # cut in two meets whole ones as any phrase that shares a part
+                own = [k for k, v in enumerate(values) if len(v) > at]
+                rows = parse(np.array([doc[k] for k in own], np.int64), np.array([text[k] for k in own], np.uint32), [values[k][at : at + _PIECE_BYTES + window - 1] for k in own], window, gram)
+                rows["start"] += np.uint32(at)
+                held.append(rows)
             if sum(map(len, held)) >= _FLUSH_PHRASES:
                 yield flush()
         if held:
@@ -318,6 +328,7 @@ def _met(moved: DataFrame, dtype: np.dtype, same: tuple[str, ...], buckets: int,
 def _packed(docs: DataFrame, buckets: int) -> DataFrame:
     """Compressed documents by group: target, blob."""
 
+    @tidy
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[int, int, bytes]]] = {}
         size = 0
@@ -381,7 +392,11 @@ def _asked(requests: DataFrame, docs: DataFrame, groups: int, buckets: int, wind
                 starts = _expanded(runs)
                 rows = np.empty(len(starts), POINT)
                 rows["doc"], rows["text"], rows["start"] = doc, text, starts
-                rows["hash"] = Hashes(np.frombuffer(value, np.uint8)).of(starts, starts + window)
+                piece = starts // _PIECE_BYTES
+                for p in np.unique(piece):
+                    at = int(p) * _PIECE_BYTES
+                    hashes = Hashes(np.frombuffer(value[at : at + _PIECE_BYTES + window - 1], np.uint8))
+                    rows["hash"][piece == p] = hashes.of(starts[piece == p] - at, starts[piece == p] - at + window)
                 held.append(rows)
         rows, rest = _split_equal(np.concatenate(held) if held else np.empty(0, POINT), "hash")
         return pa.Table.from_batches([_sent(rows, groups, rows["hash"], _runs(rest), buckets)])
@@ -400,13 +415,13 @@ def _removed(covers: DataFrame, docs: DataFrame, buckets: int, window: int) -> D
         for doc, text, value in _documents(texts):
             runs, spans, kept = told.get((doc, text)), [], value
             if runs is not None:
-                change = np.zeros(len(value) + 1, np.int64)
-                np.add.at(change, runs["start"].astype(np.int64), 1)
-                np.add.at(change, runs["start"].astype(np.int64) + runs["n"] + window - 1, -1)
-                gone = np.cumsum(change[:-1]) > 0
-                edges = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))
-                spans = [{"start": a, "stop": b} for a, b in edges.reshape(-1, 2).tolist()]
-                kept = np.frombuffer(value, np.uint8)[~gone].tobytes()
+                begin = runs["start"].astype(np.int64)
+                reach = np.maximum.accumulate(begin + runs["n"] + window - 1)
+                first = np.flatnonzero(np.concatenate(([True], begin[1:] > reach[:-1])))
+                edges = np.stack((begin[first], reach[np.concatenate((first[1:], [len(reach)])) - 1]), axis=1)
+                spans = [{"start": a, "stop": b} for a, b in edges.tolist()]
+                stops = [0, *edges[:, 1].tolist()]
+                kept = b"".join(value[a:b] for a, b in zip(stops, [*edges[:, 0].tolist(), len(value)], strict=True))
             for column, x in zip(out, (doc, len(value), spans, kept), strict=True):
                 column.append(x)
         return pa.table(out, schema=_KEPT_ARROW)
