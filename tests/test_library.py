@@ -150,6 +150,15 @@ def test_commands(spark, folder, tmp_path, capsys):
     assert "<td>m11_style</td>" in spark.read.text(f"{tmp_path}/o/dashboard", wholetext=True).first()[0]
 
 
+def test_topic_findings(spark):
+    docs = spark.createDataFrame([("A", "Syringe line"), ("B", "Vial line"), ("C", "Vial room"), ("D", "Other")], "sop_id string, title string")
+    table = spark.createDataFrame([(0, "line / wipe", 2, ["wipe line", "clean"], ["A", "B"]), (1, "x", 2, ["room"], ["C", "D"])], "cluster int, label string, size long, top_terms array<string>, examples array<string>")
+    for clusters, said in (((0, 0, 1, 1), "they share topic 0"), ((0, 1, 1, 1), "syringes in topics [0], vials in [1]")):
+        members = spark.createDataFrame(list(zip("ABCD", clusters, strict=True)), "sop_id string, cluster int")
+        got = [r["finding"] for r in M.topic_findings(docs, members, table).collect()]
+        assert len(got) == 4 and got[0].startswith("Equipment/Cleaning cluster 0") and said in got[1] and got[3] == "2 topics of 4 documents."
+
+
 def test_groups_and_ranks(spark):
     from folioscope.operators import similarity as V
 
