@@ -189,8 +189,10 @@ def components(fingerprints: DataFrame) -> DataFrame:
     merged = connected_components(_ring_pairs(grouped), "group_a", "group_b")
     final = grouped.join(merged.select(F.col("node").alias("group"), F.col("label").alias("final")), "group", "left")
     final = final.select("fp", "least", F.coalesce("final", "group").alias("final"))
-    smallest = final.groupBy("final").agg(F.min("least").alias("component"))
-    return final.join(smallest, "final").select("fp", "component")
+    # only groups of several fingerprints are looked up, so that a large one meets no single task
+    several = final.groupBy("final").agg(F.min("least").alias("component"), F.count("*").alias("n")).filter("n > 1")
+    found = final.join(broadcast_if_small(several.select("final", "component")), "final", "left")
+    return found.select("fp", F.coalesce("component", "least").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
