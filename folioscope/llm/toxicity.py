@@ -8,7 +8,8 @@ text's length, gives a score from 0 to 1.
 
 The lexicon and the logistic weights are fitted on labelled rows, at most
 ``max_sample`` of them (those with the smallest hashes of their ids); candidates
-are counted by the executors and at most ``max_lexicon`` reach the driver.
+are counted by the executors, and those that occur in enough toxic documents of the
+sample, and tell enough of them, reach the driver. No other bound cuts the lexicon.
 
 Defined results: null and empty texts have no words and get the score of no
 match; labels that are null or have no document are ignored; repeated rows count
@@ -30,11 +31,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, tidy
 
 THRESHOLD = 0.7
 MAX_SAMPLE = 20_000
-MAX_LEXICON = 4_000
 LEAST_SURPRISE = 24.0
 #: Phrases that are harmless although they hold a lexicon word.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "trash collection", "stupid question", "circus clown")
@@ -45,16 +45,24 @@ _SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
 _INVISIBLE = dict.fromkeys("­​‌‍⁠﻿", "")
 _FULLWIDTH = {chr(0xFF21 + k): chr(0x61 + k) for k in range(26)} | {chr(0xFF41 + k): chr(0x61 + k) for k in range(26)}
 _FOLD = str.maketrans(_CYRILLIC | _GREEK | _FULLWIDTH | _INVISIBLE)
-_INSIDE = re.compile(r"(?<=[^\W\d_])[0134578@$!]+(?=[^\W\d_])|(?<![^\W_])[0134578@$]+(?=[^\W\d_]{2})")
+_SIGN_TABLE = str.maketrans({c: x for c, x in _SIGNS.items() if c != "|"})
+#: A run of letters, digits and signs that holds a sign; what comes before the first is letters.
+_DISGUISED = re.compile(r"(?<![^\W\d_])[^\W\d_]*+[0134578@$!](?:[^\W_]|[@$!])*")
+_LETTER = re.compile(r"[^\W\d_]")
 _BETWEEN = re.compile(r"[\W\d_]+")
 _PREFIXES = range(3, 9)
-_MOST_IN_ONE = 4
+
+
+def _undisguised(run: re.Match) -> str:
+    """Digits and signs as letters in a run that holds a letter; exclamation marks at
+    its end stay what they are, and so do numbers and signs alone."""
+    word = run[0].rstrip("!")
+    return word.translate(_SIGN_TABLE) + " " if _LETTER.search(word) else run[0]
 
 
 def fold(text: str | None) -> str:
     """Folded words, one space around each."""
-    plain = (text or "").lower().translate(_FOLD)
-    plain = _INSIDE.sub(lambda m: "".join(_SIGNS[c] for c in m[0]), plain)
+    plain = _DISGUISED.sub(_undisguised, (text or "").lower().translate(_FOLD))
     return f" {_BETWEEN.sub(' ', plain).strip()} "
 
 
@@ -99,18 +107,19 @@ class Matcher:
         if self.empty:
             return 0.0
         best: dict[int, tuple[int, float]] = {}
-        harmless: list[tuple[int, int]] = []
+        harmless: set[int] = set()
         for end, (size, weight) in self.machine.iter(folded):
             start = end - size + 1
             if weight is None:
-                harmless.append((start, end))
+                harmless.update(range(start, end))
             elif start not in best or best[start][0] < size:
                 best[start] = (size, weight)
-        return sum(w for at, (_, w) in best.items() if not any(a <= at < b for a, b in harmless))
+        return sum(w for at, (_, w) in best.items() if at not in harmless)
 
     def features(self, folded: str) -> list[float]:
-        n, total = folded.count(" ") - 1, self.total(folded)
-        return [1.0, min(total, 60.0) / 10, total / math.sqrt(n + 10), math.log1p(n) / 5]
+        n = folded.count(" ") - 1 if len(folded) > 2 else 0
+        total = self.total(folded)
+        return [1.0, math.asinh(total), total / math.sqrt(n + 10), math.log1p(n) / 5]
 
     def score(self, folded: str) -> float:
         if self.weights is None:
@@ -132,18 +141,19 @@ def _sample(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str,
 
 
 def _candidate_counts(sample: DataFrame) -> DataFrame:
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             table: dict[str, list[int]] = {}
-            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for toxic, text in zip(batch.column(0).to_pylist(), (t.as_py() for t in batch.column(1)), strict=True):
                 for pattern, n in candidates(fold(text).split()).items():
                     row = table.setdefault(pattern, [0, 0, 0, 0])
-                    row[0 if toxic else 1] += min(n, _MOST_IN_ONE)
+                    row[0 if toxic else 1] += n.bit_length()
                     row[2 if toxic else 3] += 1
             columns = list(zip(*table.values(), strict=True)) if table else [()] * 4
             yield pa.record_batch([pa.array(table.keys(), pa.string()), *[pa.array(c, pa.int64()) for c in columns]], names=["pattern", *names])
 
-    names = ["k1", "k0", "d1", "d0"]  # occurrences (some in one document) and documents, toxic and not
+    names = ["k1", "k0", "d1", "d0"]  # occurrences (1, 2 to 3, 4 to 7 ... in one document count 1, 2, 3 ...) and documents, toxic and not
     counted = sample.mapInArrow(count, "pattern string, k1 long, k0 long, d1 long, d0 long")
     return counted.groupBy("pattern").agg(*[F.sum(c).alias(c) for c in names])
 
@@ -192,7 +202,6 @@ def fit(
     label: str = "toxic",
     exceptions: tuple[str, ...] = EXCEPTIONS,
     max_sample: int = MAX_SAMPLE,
-    max_lexicon: int = MAX_LEXICON,
 ) -> Model:
     """Learns a model from the labels that are given."""
     sample = _sample(docs, labels, id, text, label, max_sample)
@@ -206,13 +215,14 @@ def fit(
         expected = (F.col("d1") + F.col("d0")) * part
         surprise += F.when(F.col(found) > 0, 2 * F.col(found) * F.log(F.col(found) / expected)).otherwise(0.0)
     scored = _candidate_counts(sample).filter("d1 >= 4").select("pattern", "k1", odds.alias("w"), surprise.alias("g"))
-    top = scored.filter(f"w >= 2 and g >= {LEAST_SURPRISE}").orderBy(F.desc("g"), "pattern").limit(max_lexicon)
+    top = scored.filter(f"w >= 2 and g >= {LEAST_SURPRISE}")
     lexicon = tuple(sorted(_pruned([(r["pattern"], r["k1"], r["w"]) for r in top.collect()]).items()))
     bare = Model(lexicon, exceptions, None)
 
+    @tidy
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [matcher(bare).features(fold(t)) for t in batch.column(1).to_pylist()]
+            found = [matcher(bare).features(fold(t.as_py())) for t in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.float64()))], names=["toxic", "x"])
 
     rows = sample.mapInArrow(measure, "toxic boolean, x array<double>").toPandas()  # max_sample rows at most
@@ -222,10 +232,11 @@ def fit(
 
 def score_column(model: Model, text: Column) -> Column:
     @F.arrow_udf("double")
+    @tidy
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         machine = matcher(model)
         for texts in batches:
-            yield pa.array([machine.score(fold(t)) for t in texts.to_pylist()], pa.float64())
+            yield pa.array([machine.score(fold(t.as_py())) for t in texts], pa.float64())
 
     return score.asNondeterministic()(text.cast("string"))
 
