@@ -9,11 +9,14 @@ from its share. When a source ends, a new phase begins in which the others keep
 the ratio of their weights, so every document appears exactly once.
 
 A schedule repeats after A slots, so the driver simulates one period per phase
-from block counts alone; its tables have at most (classes)^2 and classes*A rows.
-Sources without a target share one class, so their number doesn't matter.
+from block counts alone; its tables have at most (classes)^2 and classes*A rows, after
+weights are divided by what divides them all, and targets for which classes*A is over
+MAX_SCHEDULE are refused. Sources without a target share one class, so their number
+doesn't matter.
 
 Block numbers need running sums over whole sources. Those are made in two levels,
-over 4,096 ranges of the order key per class, so that no task holds a source.
+over ranges of the order key, as many as make a range hold about RANGE_UNITS of all
+characters, so that no task holds a source, however large.
 
 Defined results: a null source is in the shared class; null and empty texts count
 one unit; rows that tie in the order (repeated ids) are ordered by their text's
@@ -24,18 +27,25 @@ of the input stay as they are, whatever their names.
 from __future__ import annotations
 
 import heapq
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import cut_lineage
+
 BLOCK_UNITS = 65_536
 #: Targets are a parameter, not data: a longer list is refused.
 MAX_TARGETS = 1_000
 #: The class of sources that have no target of their own.
 SHARED = None
-_RANGE_BITS = 12
+#: Rows of the schedule that is broadcast: a longer one is refused.
+MAX_SCHEDULE = 2_000_000
+#: Characters of all sources together in one range of the order key.
+RANGE_UNITS = 1 << 20
+_FINE_BITS = 20
 
 
 @dataclass(frozen=True)
@@ -103,12 +113,15 @@ def mix(
     order: str = "doc_id",
     block_units: int = BLOCK_UNITS,
     prefix: str = "mix_",
+    units: str | None = None,
+    tie: str | None = None,
 ) -> DataFrame:
     """docs with mix_slot, mix_place, mix_block, mix_release and mix_deadline.
 
     targets: whole-number weights by source; SHARED (None) is the weight of all
     other sources together (default 1). Sort by mix_slot, mix_place for the mix;
-    mix_place is where a document begins in its block.
+    mix_place is where a document begins in its block. units, tie: columns with the
+    characters and a hash of each text, for rows that don't carry their texts.
     """
     if len(targets) > MAX_TARGETS:
         raise ValueError(f"at most {MAX_TARGETS} sources can have targets")
@@ -116,6 +129,12 @@ def mix(
         raise ValueError("weights are whole numbers of 1 or more")
     named = [s for s in targets if s is not SHARED]
     weights = {k + 1: targets[s] for k, s in enumerate(named)} | {0: targets.get(SHARED, 1)}
+    part = math.gcd(*weights.values())
+    weights = {c: w // part for c, w in weights.items()}
+    if len(weights) * sum(weights.values()) > MAX_SCHEDULE:
+        raise ValueError(f"sources times the sum of their weights may be {MAX_SCHEDULE} at most")
+    length = F.length(F.col(f"`{text}`")) if units is None else F.col(f"`{units}`")
+    hashed = F.xxhash64(F.col(f"`{text}`")) if tie is None else F.col(f"`{tie}`")
     number = F.create_map(*[F.lit(x) for k, s in enumerate(named) for x in (s, k + 1)]) if named else F.create_map().cast("map<string,int>")
     klass = F.coalesce(F.try_element_at(number, F.col(f"`{source}`").cast("string")), F.lit(0))
     key = F.xxhash64(F.col(f"`{order}`"))
@@ -123,12 +142,17 @@ def mix(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         klass.alias("klass"),
         key.alias("key"),
-        F.shiftrightunsigned(key, 64 - _RANGE_BITS).alias("range"),
-        F.greatest(F.lit(1), F.coalesce(F.length(F.col(f"`{text}`")), F.lit(0))).cast("long").alias("units"),
-        F.xxhash64(F.col(f"`{text}`")).alias("tie"),
+        F.shiftrightunsigned(key, 64 - _FINE_BITS).alias("fine"),
+        F.greatest(F.lit(1), F.coalesce(length, F.lit(0))).cast("long").alias("units"),
+        hashed.alias("tie"),
     )
     spark = docs.sparkSession
-    sums = rows.groupBy("klass", "range").agg(F.sum("units").alias("units"))
+    fine = cut_lineage(rows.groupBy("klass", "fine").agg(F.sum("units").alias("units")))
+    everything = fine.agg(F.sum("units")).first()[0] or 0
+    bits = min(_FINE_BITS, max(0, math.ceil(math.log2(max(1, everything / RANGE_UNITS)))))
+    coarse = F.shiftrightunsigned("fine", _FINE_BITS - bits).alias("range")
+    rows = rows.select("row", "klass", "key", coarse, "units", "tie")
+    sums = fine.select("klass", coarse, "units").groupBy("klass", "range").agg(F.sum("units").alias("units"))
     totals = {r["klass"]: r["units"] for r in sums.groupBy("klass").agg(F.sum("units").alias("units")).collect()}  # a row per class
     phases, table = schedule({c: -(-n // block_units) for c, n in totals.items()}, weights)
 
