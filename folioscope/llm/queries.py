@@ -23,8 +23,9 @@ TARGETS: dict[str | None, int] = {"src0": 10} | {f"src{k}": 4 for k in range(1,
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mix(docs, TARGETS).drop("text")
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", "source", F.length("text").alias("units"), F.xxhash64("text").alias("tie"))
+    return mixing.mix(docs, TARGETS, units="units", tie="tie").drop("units", "tie")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,17 +206,17 @@ _DECONTAMINATION_SQL = f"""
 def _license_sql() -> str:
     """Every place and every block is tried, whatever its tokens."""
     phrases = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in licenses.PHRASES)
-    templates = ", ".join(f"(list_distinct(string_split('{t}', ' ')), '{label}')" for t, label in licenses.TEMPLATES)
-    half = licenses.BLOCK // 2
+    halves = [max(licenses.BLOCK // 2, len(t.split())) for t, _ in licenses.TEMPLATES]
+    templates = ", ".join(f"(list_distinct(string_split('{t}', ' ')), '{label}', {h})" for (t, label), h in zip(licenses.TEMPLATES, halves, strict=True))
     return f"""
       with d as (select doc_id, {_WORDS} as w from documents),
       p(phrase, label, n) as (values {phrases}),
       b as (select doc_id, label, s - 1 as start_
             from (select doc_id, w, phrase, label, n, unnest(range(1, len(w) - n + 2)) as s from d, p)
             where array_to_string(w[s:s + n - 1], ' ') = phrase),
-      t(tokens, label) as (values {templates}),
-      c as (select doc_id, label, len(list_intersect(tokens, w[k * {half} + 1:k * {half} + {licenses.BLOCK}]))::double / len(tokens) as share
-            from (select doc_id, w, tokens, label, unnest(range(0, greatest(1, ceil(len(w) / {half}))::bigint)) as k from d, t)),
+      t(tokens, label, half) as (values {templates}),
+      c as (select doc_id, label, len(list_intersect(tokens, w[k * half + 1:k * half + 2 * half]))::double / len(tokens) as share
+            from (select doc_id, w, tokens, label, half, unnest(range(0, greatest(1, ceil(len(w) / half))::bigint)) as k from d, t)),
       g as (select doc_id, count(*) as n, min(start_) as lo, max(start_) as hi, string_agg(distinct label, ',' order by label) as labels from b group by 1),
       m as (select doc_id, label from b union select doc_id, label from c where share >= {licenses.THRESHOLD}),
       x as (select doc_id, max(share) as share from c where share >= {licenses.THRESHOLD} group by 1),
