@@ -1,7 +1,8 @@
 """Exact token-length histogram with suffix sums.
 
 Documents are encoded whole with a public byte-level BPE vocabulary and counted
-by encoded length. Suffix sums over the distinct lengths then answer totals,
+by encoded length; runs of white space of any length are cut where the pattern cuts
+them anyhow, as its look-ahead would follow them one level a character. Suffix sums over the distinct lengths then answer totals,
 quantiles and truncated totals for any context limit without the documents.
 
 Defined results: null and empty texts have length 0 and are counted; repeated
@@ -12,6 +13,7 @@ ignored. The number of rows is at most the longest length plus one.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import as_bytes, binary_values, cut_lineage
+from .common import as_bytes, binary_values, cut_lineage, tidy
 
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the vocabulary's texts are cut before merging.
@@ -28,6 +30,8 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: Vocabularies are sent to the executors; larger files are refused.
 MAX_VOCABULARY_BYTES = 64 << 20
 _BUCKET = 1024
+#: Runs of what the pattern takes as white space, too long for its look-ahead.
+_LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 
 
 @lru_cache(maxsize=2)
@@ -38,6 +42,20 @@ def encoder(ranks: bytes):
     return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
 
 
+def count_tokens(encoding, text: str) -> int:
+    """Tokens of the whole text.
+
+    Of a run of white space the pattern takes all but the last character as one piece,
+    or all of it at the end of the text; that piece is merged on its own, and what
+    stands before and after is cut as in the whole text."""
+    n = at = 0
+    for run in _LONG_SPACE.finditer(text):
+        stop = run.end() - (run.end() < len(text))
+        n += len(encoding.encode_ordinary(text[at : run.start()])) + len(encoding._encode_single_piece(text[run.start() : stop]))
+        at = stop
+    return n + len(encoding.encode_ordinary(text[at:]))
+
+
 def read_vocabulary(path: str) -> bytes:
     with open(path, "rb") as f:
         ranks = f.read(MAX_VOCABULARY_BYTES + 1)
@@ -50,12 +68,13 @@ def length_histogram(docs: DataFrame, text: str = "text", vocabulary: str = DEFA
     """n_tokens, n_docs: one row per distinct encoded length."""
     ranks = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks.value).encode_ordinary
+        encoding = encoder(ranks.value)
         found: dict[int, int] = {}
         for batch in batches:
             for value in binary_values(batch.column(0)):
-                n = len(encode(value.decode("utf-8", "replace")))
+                n = count_tokens(encoding, value.decode("utf-8", "replace"))
                 found[n] = found.get(n, 0) + 1
         yield pa.record_batch([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.int64())], names=["n_tokens", "n"])
 
