@@ -6,8 +6,9 @@ once: its words become numbers of the benchmark's vocabulary, rolling hashes of
 its windows are looked up, and each hit is verified word by word.
 
 The set is bounded: items are packed into parts of at most ``max_part_windows``
-windows, and each part is one more pass of the same scan that adds to the
-document's findings, so a benchmark of any size works with bounded broadcasts.
+windows, longer items cut into several. The driver and the executors hold one part at a
+time: a benchmark of more than one part is scanned in as many passes, each adding to the
+documents' findings, which are cut off in between.
 
 Defined results: null texts have no words; items without words are ignored; null
 item ids count as hits but are not listed; repeated items and documents are
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, binary_values, fresh, words_of
+from .common import WORD_TABLE, as_bytes, binary_values, cut_lineage, fresh, tidy, words_of
 
 WINDOW = 10
 MAX_PART_WINDOWS = 2_000_000
@@ -86,12 +87,15 @@ def _parts(benchmark: DataFrame, item: str, text: str, window: int, most: int) -
     part: list[tuple[object, bytes]] = []
     size = 0
     for name, value in benchmark.select(F.col(item).alias("item"), as_bytes(text).alias("text")).toLocalIterator():
-        n = max(1, len(words_of(bytes(value))) - window + 1)
-        if part and size + n > most:
-            yield part
-            part, size = [], 0
-        part.append((name, bytes(value)))
-        size += n
+        words = words_of(bytes(value))
+        for at in range(0, max(1, len(words) - window + 1), most):
+            piece = words[at : at + most + window - 1]
+            n = max(1, len(piece) - window + 1)
+            if part and size + n > most:
+                yield part
+                part, size = [], 0
+            part.append((name, b" ".join(piece)))
+            size += n
     if part:
         yield part
 
@@ -106,6 +110,7 @@ def _scanner(part, window: int):
     """A UDF that adds one part's findings to those of the parts before."""
 
     @F.arrow_udf(_FOUND)
+    @tidy
     def scan(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         windows = WindowSet(part.value, window)
         for texts, earlier in batches:
@@ -142,11 +147,16 @@ def find_windows(
     the items with occurring windows, distinct and sorted as strings.
     """
     context = docs.sparkSession.sparkContext
-    parts = list(_parts(benchmark, item, item_text, window, max_part_windows)) or [[]]
-    result = F.lit(None).cast(_FOUND)
-    for part in parts:
-        result = _scanner(context.broadcast(part), window)(as_bytes(text), result)
-    return docs.withColumn(found, result)
+    parts = _parts(benchmark, item, item_text, window, max_part_windows)
+    part, rows = next(parts, []), docs.withColumn(found, F.lit(None).cast(_FOUND))
+    while True:
+        held = context.broadcast(part)
+        rows = rows.withColumn(found, _scanner(held, window)(as_bytes(f"`{text}`"), F.col(f"`{found}`")))
+        part = next(parts, None)
+        if part is None:
+            return rows
+        rows = cut_lineage(rows)
+        held.destroy()
 
 
 def findings(found: Column) -> dict[str, Column]:
@@ -162,43 +172,44 @@ def findings(found: Column) -> dict[str, Column]:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", max_share: float = 0.0, **options) -> DataFrame:
-    """The documents of which at most max_share of the words are hit, unchanged."""
+    """The documents of which at most max_share of the words are hit, unchanged.
+
+    Documents without words (null texts, too) have none hit and stay; a share that ties
+    with max_share stays; repeated rows share one fate; empty tables give no rows, an
+    empty benchmark keeps all; other columns, whatever their names, stay.
+    """
     name = fresh(docs, "found")
     rows = find_windows(docs, benchmark, text, found=name, **options)
     facts = findings(F.col(name))
     return rows.filter(facts["n_hit"] <= F.lit(max_share) * facts["n_words"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def _without(text: str | None, runs: list[dict]) -> str | None:
+    if text is None or not runs:
+        return text
+    raw = text.encode()
+    spaced = np.frombuffer(b" " + raw.translate(WORD_TABLE) + b" ", np.uint8) == 32
+    starts, stops = np.flatnonzero(spaced[:-1] & ~spaced[1:]), np.flatnonzero(~spaced[:-1] & spaced[1:])
+    kept, at = [], 0
+    for run in runs:
+        kept.append(raw[at : starts[run["start"]]])
+        at = stops[run["stop"] - 1]
+    return b"".join([*kept, raw[at:]]).decode("utf-8", "replace")
+
+
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents with every hit run of words cut out of their texts.
 
     What stands between the first and the last word of a run goes with it; the
-    rest, separators included, stays byte for byte.
+    rest, separators included, stays byte for byte. Null texts stay null; no row goes;
+    repeated rows are cut alike; empty tables give no rows; other columns stay.
     """
     name = fresh(docs, "found")
     rows = find_windows(docs, benchmark, text, found=name, **options)
 
-    @F.pandas_udf("string")
-    def cut(texts, hits):
-        import pandas as pd
-
-        from .common import WORD_TABLE
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, hits: pa.Array) -> pa.Array:
+        return pa.array((_without(t.as_py(), h.as_py()) for t, h in zip(texts, hits, strict=True)), pa.string())
 
-        out = []
-        for value, runs in zip(texts, hits, strict=True):
-            if value is None or not len(runs):
-                out.append(value)
-                continue
-            raw = value.encode()
-            spaced = np.frombuffer(b" " + raw.translate(WORD_TABLE) + b" ", np.uint8) == 32
-            starts = np.flatnonzero(spaced[:-1] & ~spaced[1:])
-            stops = np.flatnonzero(~spaced[:-1] & spaced[1:])
-            kept, at = [], 0
-            for run in runs:
-                kept.append(raw[at : starts[run["start"]]])
-                at = stops[run["stop"] - 1]
-            out.append(b"".join([*kept, raw[at:]]).decode("utf-8", "replace"))
-        return pd.Series(out, dtype=object)
-
-    columns = [cut(F.col(f"`{c}`").cast("string"), F.col(f"{name}.hits")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
+    columns = [cut.asNondeterministic()(F.col(f"`{c}`").cast("string"), F.col(f"{name}.hits")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
     return rows.select(*columns)
