@@ -3,18 +3,22 @@
 Words are those of simhash.py; a shorter text is one shingle. Shingles are compared
 by their XXH64 values.
 
-At similarity 0.8 a 64-bit SimHash differs in about 10 bits, give or take 3. A budget
-that keeps such pairs (20 bits) leaves no chain of segments that is worth searching by,
-so here chains prune pairs, but don't find them:
-
-1. Sets that share a band of their smallest hashes with another set are candidates. A
-   pair of similarity 0.8 shares none of 40 bands of 5 with probability
-   (1 - 0.8**5)**40, about 1.3e-7; at any similarity above it is less.
-2. Candidates meet by an exact join of their sets: by the rarest shingles of each, under
-   the bounds of place and length (operators/similarity.py).
-3. Pairs that meet must pass the pigeonring chains and the full Hamming distance of
-   their fingerprints (256 bits, 96 of them may differ: ten standard deviations above
-   the mean at similarity 0.8), and then the exact similarity.
+A SimHash whose bits all count all shingles differs in 15 % of its bits at similarity
+0.8, so that no segment of it is sure to be equal. Here shingles are dealt to segments
+by hash, and a segment is the 64-bit SimHash of its own shingles: a differing shingle
+changes one segment, so a pair's fingerprints differ in at most as many segments as
+their sets differ in shingles. That is the Hamming budget, and no pair is lost:
+
+1. Sizes of a class (a power of two) have the same number of segments, chosen so that a
+   set has more segments that aren't empty than its budget; a set whose partners may
+   be in the next class has a fingerprint for that, too. A set that has not enough
+   (small ones, rarely) offers its empty segments as well.
+2. A segment that no other set has differs from any partner. Sets with more of them than
+   their budget have no partner and leave.
+3. Pigeonring: in the ring of segments that are not empty in both, from some segment on
+   the first l differ in at most l parts of the budget, for every l. The first one is
+   equal and is the join key; the chains of up to 8 segments are tested as they meet.
+4. Then the full distance of the fingerprints, and then the exact similarity.
 
 Work is done on distinct sets, so copies cost nothing. Each member of a bucket first
 meets the bucket's most popular one, which joins dense groups in linear time; after
@@ -30,24 +34,26 @@ no rows; very long texts are read whole; other columns, whatever their names, ar
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators.components import connected_components
-from ..operators.similarity import can_reach, prefixes
 from .common import as_bytes, binary_values, broadcast_if_small, cut_lineage, fresh, release, tidy
-from .simhash import SEED, ring_near, shingle_hashes, wide_fingerprint
+from .simhash import shingle_hashes
 
 SIZE = 5
 SIMILARITY = 0.8
-BANDS = 40
-ROWS = 5
-MAX_WIDE_BITS = 96
-_PART = 2_048
+#: Segments that a chain is tested on, the join key included.
+CHAIN = 8
+_SPARE = 8
+_SLACK = 1e-6
+_PART = 65_536
 
 
 def shingle_set(text: bytes, size: int = SIZE) -> np.ndarray:
@@ -59,27 +65,84 @@ def _digest(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
-class Bands:
-    def __init__(self, bands: int = BANDS, rows: int = ROWS):
-        rng = np.random.default_rng(SEED)
-        self.shape = (bands, rows)
-        self.factors = rng.integers(0, 2**32, (bands * rows, 1), np.uint32) | np.uint32(1)
-        self.masks = rng.integers(0, 2**32, (bands * rows, 1), np.uint32)
-        self.starts = rng.integers(0, 2**64, bands, np.uint64)
-
-    def keys(self, hashes: np.ndarray) -> np.ndarray:
-        """A key per band; keys of different bands differ, too."""
-        if not len(hashes):
-            return np.zeros(0, np.int64)
-        high = (hashes >> np.uint64(32)).astype(np.uint32)
-        least = np.full(len(self.factors), 2**32 - 1, np.uint32)
-        for at in range(0, len(high), _PART):
-            np.minimum(least, ((high[at : at + _PART] ^ self.masks) * self.factors).min(axis=1), out=least)
-        keys = self.starts.copy()
-        for column in least.reshape(self.shape).T:
-            keys = (keys ^ column) * np.uint64(0x9E3779B97F4A7C15)
-            keys ^= keys >> np.uint64(29)
-        return keys.view(np.int64)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Segments:
+    """Fingerprints by segments, for sets of at least this similarity."""
+
+    def __init__(self, similarity: float = SIMILARITY):
+        self.similarity = similarity
+        # shingles of a segment at which 10 % more segments than the budget aren't empty
+        low, high = 0.0, 64.0
+        for _ in range(60):
+            x = (low + high) / 2
+            low, high = (x, high) if -math.expm1(-x) / x > 1.1 * (1 - similarity) / similarity else (low, x)
+        self.load = max(low, 1 / 64)
+
+    def budget(self, n: int) -> int:
+        """Shingles in which a set of n and a similar one differ at most."""
+        return int(n * (1 - self.similarity) / self.similarity + _SLACK)
+
+    def counts(self, n: int) -> list[int]:
+        """Numbers of segments that a set of n has fingerprints of; one without another
+        similar set has none."""
+        if not self.budget(n):
+            return []
+        over = 1 << n.bit_length()
+        return [math.ceil(top / self.load) + _SPARE for top in ([over, 2 * over] if int(n / self.similarity + _SLACK) >= over else [over])]
+
+    @staticmethod
+    def parts(hashes: np.ndarray, m: int) -> np.ndarray:
+        return ((hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)
+
+    def fingerprint(self, hashes: np.ndarray, m: int) -> np.ndarray:
+        """The SimHash of each segment, mixed with its place; 0 if it is empty."""
+        parts = self.parts(hashes, m)
+        order = np.argsort(parts, kind="stable")
+        hashes, parts = hashes[order], parts[order]
+        places, starts = np.unique(parts, return_index=True)
+        ends = np.append(starts[1:], len(parts))
+        values, at = np.zeros(len(places), np.uint64), 0
+        while at < len(places):
+            to = max(at + 1, int(np.searchsorted(ends, starts[at] + _PART, "right")))
+            bits = np.unpackbits(hashes[starts[at] : ends[to - 1]].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            ones = np.diff(np.cumsum(bits, axis=0, dtype=np.int32)[ends[at:to] - starts[at] - 1], axis=0, prepend=0)
+            values[at:to] = np.packbits(2 * ones > (ends - starts)[at:to, None], axis=1).view(">u8").ravel()
+            at = to
+        out = np.zeros(m, np.uint64)
+        out[places.astype(np.int64)] = _mixed(values ^ _mixed(places * np.uint64(0x9E3779B97F4A7C15) + np.uint64(m))) | np.uint64(1)
+        return out
+
+    def wild(self, n: int, filled: int) -> bool:
+        """Whether all segments that aren't empty may differ."""
+        return filled <= self.budget(n)
+
+    def keys(self, segments: np.ndarray, n: int) -> np.ndarray:
+        """A key per segment that a chain may begin with, 0 for the others."""
+        if not self.wild(n, np.count_nonzero(segments)):
+            return segments
+        empty = _mixed(np.arange(len(segments), dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(len(segments))) & ~np.uint64(1)
+        return np.where(segments == 0, empty, segments)
+
+    def needed(self, hashes: np.ndarray) -> list[int]:
+        """For each fingerprint the keys that a set must share with others."""
+        found = []
+        for m in self.counts(len(hashes)):
+            filled = len(np.unique(self.parts(hashes, m)))
+            found.append((m if self.wild(len(hashes), filled) else filled) - self.budget(len(hashes)))
+        return found
+
+
+def _following(segments: np.ndarray) -> np.ndarray:
+    """The last bytes of the segments that follow each one in the ring."""
+    out = np.zeros(len(segments), np.uint64)
+    for j in range(1, CHAIN):
+        out |= (np.roll(segments, -j) & np.uint64(255)) << np.uint64(8 * (j - 1))
+    return out
 
 
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
@@ -87,79 +150,191 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))
 
 
-def _sketches(size: int, bands: int, rows: int):
+def _short(digest: bytes) -> int:
+    """Even."""
+    return int.from_bytes(digest[:8], "big", signed=True) & ~1
+
+
+def _sketches(size: int, similarity: float):
     @tidy
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maker = Bands(bands, rows)
+        maker = Segments(similarity)
         for batch in batches:
-            digests, keys = [], []
+            digests, needed = [], []
             for text in binary_values(batch.column(2)):
                 hashes = shingle_set(text, size)
                 digests.append(_digest(hashes))
-                keys.append(maker.keys(hashes))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), _lists(keys)], names=["id", "mark", "node", "keys"])
+                needed.append(maker.needed(hashes))
+            shorts = pa.array([_short(d) for d in digests], pa.int64())
+            yield pa.record_batch(
+                [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), shorts, pa.array(needed, pa.list_(pa.int32()))], names=["id", "mark", "node", "short", "needed"]
+            )
 
     return sketch
 
 
-def _sets(size: int):
+def _keys(size: int, similarity: float):
+    """unit (short, plus the number of the fingerprint), keys."""
+
     @tidy
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maker = Segments(similarity)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                units, keys = [], []
+                for text in binary_values(batch.column(0).slice(at, 256)):
+                    hashes = shingle_set(text, size)
+                    short = _short(_digest(hashes))
+                    for k, m in enumerate(maker.counts(len(hashes))):
+                        own = maker.keys(maker.fingerprint(hashes, m), len(hashes))
+                        units.append(short + k)
+                        keys.append(own[own != 0].view(np.int64))
+                yield pa.record_batch([pa.array(units, pa.int64()), _lists(keys)], names=["unit", "keys"])
+
+    return compute
+
+
+def _sets(size: int, similarity: float):
+    @tidy
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maker = Segments(similarity)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 sets = [shingle_set(text, size) for text in binary_values(batch.column(0).slice(at, 256))]
-                columns = [pa.array([_digest(s) for s in sets], pa.binary()), _lists([s.view(np.int64) for s in sets]), _lists([wide_fingerprint(s) for s in sets])]
-                yield pa.record_batch(columns, names=["node", "hashes", "prints"])
+                digests = [_digest(s) for s in sets]
+                prints = [[maker.fingerprint(s, m).view(np.int64) for m in maker.counts(len(s))] for s in sets]
+                of = [_lists([p[k] if k < len(p) else np.zeros(0, np.int64) for p in prints]) for k in range(2)]
+                columns = [pa.array(digests, pa.binary()), pa.array([_short(d) for d in digests], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), _lists([s.view(np.int64) for s in sets]), *of]
+                yield pa.record_batch(columns, names=["node", "short", "n", "hashes", "print0", "print1"])
+
+    return compute
+
+
+def _chains(similarity: float):
+    """item, short, n, filled, following: a row per segment that a chain may begin with."""
+
+    @tidy
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maker = Segments(similarity)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                items, following, info = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], []
+                for short, n, *prints in zip(*(c.to_pylist() for c in part.columns[:2]), *part.columns[2:], strict=True):
+                    for value in prints:
+                        segments = value.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                        if not len(segments):
+                            continue
+                        keys = maker.keys(segments, n)
+                        items.append(keys[keys != 0])
+                        following.append(_following(segments)[keys != 0])
+                        info.append((short, n, np.count_nonzero(segments), len(items[-1])))
+                columns = np.array(info, np.int64).reshape(-1, 4)
+                columns = np.repeat(columns[:, :3], columns[:, 3], axis=0)
+                yield pa.record_batch(
+                    [pa.array(np.concatenate(items).view(np.int64)), pa.array(columns[:, 0]), pa.array(columns[:, 1].astype(np.int32)), pa.array(columns[:, 2].astype(np.int32)), pa.array(np.concatenate(following).view(np.int64))],
+                    names=["item", "short", "n", "filled", "following"],
+                )
 
     return compute
 
 
+def _budget(similarity: float, na: Column, nb: Column) -> Column:
+    return (na + nb) * ((1 - similarity) / (1 + similarity)) + _SLACK
+
+
+def _chained(similarity: float) -> Column:
+    """Whether rows a and b that share a key may be similar: sizes, and the first segments
+    from the key on that aren't empty in both."""
+    sizes = F.least("na", "nb") >= F.greatest("na", "nb") * similarity - _SLACK
+    budget, ring = _budget(similarity, F.col("na"), F.col("nb")), F.greatest("filled_a", "filled_b")
+    near, seen, differing = sizes, F.lit(1), F.lit(0)
+    for j in range(CHAIN - 1):
+        x, y = (F.shiftrightunsigned(f"following_{side}", 8 * j).bitwiseAND(F.lit(255)) for side in "ab")
+        seen += (x.bitwiseOR(y) != 0).cast("int")
+        differing += (x != y).cast("int")
+        if j in (1, 3, CHAIN - 2):
+            near &= differing * ring <= seen * budget
+    return near
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """a, b of pairs whose fingerprints are near and whose sets reach the similarity."""
-    left, right = (sets.select(F.col("node").alias(x), F.col("hashes").alias(f"h{x}"), F.col("prints").alias(f"p{x}")) for x in "ab")
-    both = F.size(F.array_intersect("ha", "hb"))
-    alike = both / (F.size("ha") + F.size("hb") - both) >= similarity
-    found = pairs.join(left, "a").join(right, "b").filter(ring_near(F.col("pa"), F.col("pb"), MAX_WIDE_BITS))
-    return cut_lineage(found.filter(alike).select("a", "b"))
+    """a, b (nodes) of pairs of shorts whose fingerprints are near and whose sets reach
+    the similarity."""
+    def distance(a: str, b: str) -> Column:
+        return F.size(F.filter(F.zip_with(a, b, lambda x, y: x != y), lambda x: x))
+
+    def same(a: str, b: str) -> Column:
+        return F.size(a) == F.size(b)
+
+    differing = F.when(same("print0_a", "print0_b"), distance("print0_a", "print0_b")).when(same("print1_a", "print0_b"), distance("print1_a", "print0_b")).when(same("print0_a", "print1_b"), distance("print0_a", "print1_b"))
+    both = F.size(F.array_intersect("hashes_a", "hashes_b"))
+    alike = both / (F.size("hashes_a") + F.size("hashes_b") - both) >= similarity
+
+    def sides(pairs: DataFrame, *columns: str) -> DataFrame:
+        """pairs with these columns of both; what pairs don't ask for isn't shuffled."""
+        pairs = broadcast_if_small(pairs)
+        left, right = (sets.select(F.col("short").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns]).join(pairs, x) for x in "ab")
+        return left.join(right, ["a", "b"])
 
+    prints = sides(pairs, "print0", "print1", "n")
+    near = prints.filter(differing <= _budget(similarity, F.col("n_a"), F.col("n_b"))).select("a", "b")
+    found = sides(near, "node", "hashes").filter(alike)
+    return cut_lineage(found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")))
 
-def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SIZE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+
+def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
     """id, mark (a hash of the text) and component_id of every row."""
     own = docs.select(F.col(f"`{id}`").alias("id"), as_bytes(f"`{text}`").alias("text"))
     kind = own.schema["id"].dataType.simpleString()
     marked = own.select("id", F.xxhash64("text").alias("mark"), "text")
-    prints = cut_lineage(marked.mapInArrow(_sketches(size, bands, rows), f"id {kind}, mark long, node binary, keys array<long>"))
-    nodes = prints.groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("id", "mark")).alias("one"), F.first("keys").alias("keys"))
+    prints = cut_lineage(marked.mapInArrow(_sketches(size, similarity), f"id {kind}, mark long, node binary, short long, needed array<int>"))
+    nodes = prints.groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("id", "mark")).alias("one"), F.first("short").alias("short"), F.first("needed").alias("needed"))
     nodes = cut_lineage(nodes)
 
-    entries = nodes.select(F.explode("keys").alias("key"), F.xxhash64("node").alias("short")).repartition("key")
-    shared = entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    chosen = entries.join(shared, "key", "left_semi").select("short").distinct()
-    chosen = nodes.select("node", "one", F.xxhash64("node").alias("short")).join(chosen, "short", "left_semi")
-    chosen = broadcast_if_small(chosen.select("node", F.col("one.id").alias("id_"), F.col("one.mark").alias("mark_")))
-    texts = own.join(chosen, F.col("id").eqNullSafe(F.col("id_")) & (F.xxhash64("text") == F.col("mark_")), "left_semi").select("text")
-    sets = texts.mapInArrow(_sets(size), "node binary, hashes array<long>, prints array<long>")
-    sets = cut_lineage(sets.groupBy("node").agg(F.first("hashes").alias("hashes"), F.first("prints").alias("prints")))
+    def texts_of(chosen: DataFrame) -> DataFrame:
+        chosen = broadcast_if_small(chosen.select(F.col("one.id").alias("id_"), F.col("one.mark").alias("mark_")))
+        return own.join(chosen, F.col("id").eqNullSafe(F.col("id_")) & (F.xxhash64("text") == F.col("mark_")), "left_semi").select("text")
+
+    entries = texts_of(nodes.filter(F.size("needed") > 0)).mapInArrow(_keys(size, similarity), "unit long, keys array<long>")
+    # windows, as a join would write all keys twice; not by counts, as rows that repeat id and text are there more than once
+    of_key = Window.partitionBy("key")
+    shared = entries.select("unit", F.explode("keys").alias("key")).select("unit", F.min("unit").over(of_key).alias("low"), F.max("unit").over(of_key).alias("high"))
+    shared = shared.filter("low <> high").groupBy("unit").agg(F.count("*").alias("shared"))
+    units = nodes.select("short", F.posexplode("needed").alias("k", "least_shared")).select("short", (F.col("short") + F.col("k")).alias("unit"), "least_shared")
+    chosen = cut_lineage(units.join(shared, "unit").filter("shared >= least_shared").select("short").distinct())
+    del entries, shared, units
     release(docs.sparkSession)
 
-    first = cut_lineage(prefixes(sets, similarity, "node", "hashes"))
-    several = first.groupBy("item").agg(F.count("*").alias("met")).filter("met > 1")
-    met = first.join(several, "item")
-    popular = met.groupBy("node").agg(F.sum("met").alias("popularity"))
-    met = cut_lineage(met.join(popular, "node").select("item", "node", "n", "at", "popularity"))
-    a = met.select("item", F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("at_a"))
-    centres = met.groupBy("item").agg(F.max(F.struct("popularity", "node", "n", "at")).alias("c"))
-    centres = centres.select("item", F.col("c.node").alias("b"), F.col("c.n").alias("nb"), F.col("c.at").alias("at_b"))
-    stars = a.join(centres, "item").filter((F.col("a") != F.col("b")) & can_reach(similarity))
+    chosen = cut_lineage(nodes.join(broadcast_if_small(chosen), "short", "left_semi").select("node", "one"))
+    sets = texts_of(chosen).mapInArrow(_sets(size, similarity), "node binary, short long, n int, hashes array<long>, print0 array<long>, print1 array<long>")
+    sets = cut_lineage(sets)
+    if sets.count() != chosen.count():  # rows that repeat id and text
+        sets = cut_lineage(sets.groupBy("node").agg(*[F.first(c).alias(c) for c in sets.columns[1:]]))
+    rows = sets.select("short", "n", "print0", "print1").mapInArrow(_chains(similarity), "item long, short long, n int, filled int, following long")
+    met = cut_lineage(rows.withColumn("met", F.count("*").over(Window.partitionBy("item"))).filter("met > 1"))
+    del rows
+    release(docs.sparkSession)
+    popular = met.groupBy("short").agg(F.sum("met").alias("popularity"))
+    side = {x: [F.col("short").alias(x), F.col("n").alias(f"n{x}"), F.col("filled").alias(f"filled_{x}"), F.col("following").alias(f"following_{x}")] for x in "ab"}
+    centres = met.join(popular, "short").groupBy("item").agg(F.max(F.struct("popularity", "short", "n", "filled", "following")).alias("c"))
+    centres = centres.select("item", "c.*").select("item", *side["b"])
+    stars = met.select("item", *side["a"]).join(centres, "item").filter((F.col("a") != F.col("b")) & _chained(similarity))
     links = _verified(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, similarity)
+    del popular, centres, stars
+    release(docs.sparkSession)
 
     labels = connected_components(links)
-    grouped = met.join(labels, "node", "left").select("item", "node", "n", "at", F.coalesce("label", "node").alias("group"))
+    groups = sets.select("node", "short").join(labels, "node", "left").select("short", F.xxhash64(F.coalesce("label", "node")).alias("group"))
+    grouped = met.join(groups, "short")
     mixed = grouped.groupBy("item").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("item")
     grouped = cut_lineage(grouped.join(mixed, "item", "left_semi"))
-    a = grouped.select("item", F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("at_a"), F.col("group").alias("ga"))
-    b = grouped.select("item", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("at_b"), F.col("group").alias("gb"))
-    others = a.join(b, "item").filter((F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & can_reach(similarity)).select("a", "b").distinct()
+    # members of one group never meet, however large it is
+    held = grouped.select("item", "group").distinct()
+    facing = held.withColumnRenamed("group", "ga").join(held.withColumnRenamed("group", "gb"), "item").filter("ga < gb")
+    a = grouped.select("item", F.col("group").alias("ga"), *side["a"])
+    b = grouped.select("item", F.col("group").alias("gb"), *side["b"])
+    others = facing.join(a, ["item", "ga"]).join(b, ["item", "gb"]).filter(_chained(similarity)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = links.union(_verified(others, sets, similarity))
 
     merged = connected_components(links)

@@ -69,21 +69,6 @@ def fingerprint(text: bytes) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
-def wide_fingerprint(hashes: np.ndarray, longs: int = 4) -> np.ndarray:
-    """64 bits for each of ``longs`` mixings of the hashes, as signed numbers."""
-    out = np.zeros(longs, np.uint64)
-    for k in range(longs):
-        counts = np.zeros(64, np.int64)
-        for at in range(0, len(hashes), 65_536):
-            x = hashes[at : at + 65_536] + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (2**64 - 1))
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            x ^= x >> np.uint64(31)
-            counts += np.unpackbits(x.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out[k] = int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
-    return out.view(np.int64)
-
-
 def ring_near(a: Column, b: Column, max_bits: int, longs: int = 4, width: int = 16) -> Column:
     """Whether two wide fingerprints pass the pigeonring chains and then differ in at
     most max_bits bits.

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -72,3 +73,55 @@ def test_wide_chains_keep_what_the_budget_keeps(spark):
     got = spark.createDataFrame([(k, d, [v - 2**64 if v >= 2**63 else v for v in x], [v - 2**64 if v >= 2**63 else v for v in y]) for k, d, x, y in rows], "k int, d int, x array<long>, y array<long>")
     found = got.select("d", simhash.ring_near(F.col("x"), F.col("y"), 96).alias("near")).collect()
     assert all(r["near"] == (r["d"] <= 96) for r in found) and 20 < sum(r["near"] for r in found) < 180
+
+
+def test_chains_of_segments_lose_no_pair():
+    """Pairs of similarity 0.8 or more share a key from which the chain holds, whether
+    segments are enough (the usual load) or most sets must offer their empty ones, too."""
+    rng = np.random.default_rng(1)
+    wild = 0
+    for load in (None, 12.0):
+        maker = nearcopies.Segments()
+        maker.load = load or maker.load
+        for _ in range(400):
+            n = int(np.exp(rng.uniform(np.log(4), np.log(1500))))
+            a = np.unique(rng.integers(0, 2**64, n, np.uint64))
+            gone, new = rng.multinomial(rng.integers(0, maker.budget(n) + 1), [0.5, 0.5])
+            b = np.unique(np.concatenate([rng.permutation(a)[gone:], rng.integers(0, 2**64, new, np.uint64)]))
+            differing = len(np.setxor1d(a, b))
+            if len(np.intersect1d(a, b)) < 0.8 * len(np.union1d(a, b)):
+                continue
+            common = set(maker.counts(len(a))) & set(maker.counts(len(b)))
+            assert common or not differing
+            for m in common:
+                x, y = maker.fingerprint(a, m), maker.fingerprint(b, m)
+                assert np.count_nonzero(x != y) <= differing
+                ring, budget = max(np.count_nonzero(x), np.count_nonzero(y)), (len(a) + len(b)) / 9 + 1e-6
+                keys, others = maker.keys(x, len(a)), maker.keys(y, len(b))
+                wild += maker.wild(len(a), np.count_nonzero(x))
+
+                def holds(k, x=x, y=y, ring=ring, budget=budget, m=m):
+                    seen, apart = 1, 0
+                    for j in range(1, nearcopies.CHAIN):
+                        u, v = x[(k + j) % m], y[(k + j) % m]
+                        seen, apart = seen + bool(u or v), apart + bool(u != v)
+                        if apart * ring > seen * budget:
+                            return False
+                    return True
+
+                assert any(holds(k) for k in np.flatnonzero((keys == others) & (keys != 0)))
+    assert wild > 20
+
+
+def test_pairs_at_the_bound_across_size_classes(spark):
+    """Pairs of exactly 0.8 are linked, those one shingle below aren't; rows with null ids repeat."""
+    rows, expected = [(None, "null id " * 9), (None, "null id " * 9)], {}
+    for smaller, larger, linked in [(4, 5, True), (4, 6, False), (100, 125, True), (104, 130, True), (103, 130, False), (412, 515, True), (411, 515, False), (2000, 2500, True)]:
+        words = [f"s{larger}x{smaller}w{k}" for k in range(larger + 4)]
+        k = len(rows)
+        rows += [(k, " ".join(words)), (k + 1, " ".join(words[: smaller + 4]))]
+        expected |= {k: k, k + 1: k if linked else k + 1}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = nearcopies.near_copies(docs).collect()
+    assert {r["id"]: r["component_id"] for r in found if r["id"] is not None} == expected
+    assert len(found) == len(rows) and nearcopies.keep_one_each(docs).count() == 2 + len(set(expected.values()))
