@@ -175,3 +175,10 @@ def test_queries_import_without_training_data_operators():
 
     names = set(entry.queries())
     assert {"m03_readability", "m05_citations"} <= names and set(entry.oracle_sql()) <= names
+
+
+def test_entry_runs_a_registered_query(monkeypatch):
+    import __spark_entry__ as entry
+
+    monkeypatch.setitem(entry._plain.QUERIES, "m03_readability", lambda spark, sf_dir: (spark, sf_dir))
+    assert entry.entry("session")[0] == "session"
