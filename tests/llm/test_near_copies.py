@@ -125,3 +125,55 @@ def test_pairs_at_the_bound_across_size_classes(spark):
     found = nearcopies.near_copies(docs).collect()
     assert {r["id"]: r["component_id"] for r in found if r["id"] is not None} == expected
     assert len(found) == len(rows) and nearcopies.keep_one_each(docs).count() == 2 + len(set(expected.values()))
+
+
+def test_texts_just_below_the_bound_do_not_meet_a_whole_group(spark, monkeypatch):
+    """80 near-copies of a text and 40 texts that are alike, but not enough: what is verified
+    grows with the texts, not with the pairs."""
+    rng = random.Random(11)
+    base, rows = [f"w{j}" for j in range(149)], []
+    for k in range(120):
+        words = list(base)
+        for j in range(1 if k < 80 else 5):
+            words[rng.randrange(10, 20) + 25 * j] = f"own{k}x{j}"
+        rows.append((k, " ".join(words)))
+    verified, met = nearcopies._verified, []
+
+    def counted(pairs, sets, similarity):
+        met.append(pairs.count())
+        return verified(pairs, sets, similarity)
+
+    monkeypatch.setattr(nearcopies, "_verified", counted)
+    found = nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["id"]: r["component_id"] for r in found.collect()} == {k: 0 if k < 80 else k for k in range(120)}
+    assert sum(met) <= 600
+
+
+def test_rows_of_similar_sets_meet_whatever_the_levels(spark):
+    """Odd sketches are a lower bound, and pairs share a key that passes in Spark, too."""
+    rng = np.random.default_rng(2)
+    maker, rows, expected = nearcopies.Segments(), [], 0
+    for pair in range(200):
+        n = int(np.exp(rng.uniform(np.log(6), np.log(900))))
+        a = np.unique(rng.integers(0, 2**64, n, np.uint64))
+        gone, new = rng.multinomial(rng.integers(0, maker.budget(n) + 1), [0.5, 0.5])
+        b = np.unique(np.concatenate([rng.permutation(a)[gone:], rng.integers(0, 2**64, new, np.uint64)]))
+        if len(np.intersect1d(a, b)) < 0.8 * len(np.union1d(a, b)):
+            continue
+        odd = [nearcopies.odd_sketch(x) for x in (a, b)]
+        assert np.bitwise_count((odd[0] ^ odd[1]).view(np.uint64)).sum() <= len(np.setxor1d(a, b))
+        for m in (set(maker.counts(len(a))) & set(maker.counts(len(b)))) or {None}:
+            if m is None:
+                continue
+            expected += 1
+            prints = [maker.fingerprint(x, m) for x in (a, b)]
+            keys = [maker.keys(p, len(x)) for p, x in zip(prints, (a, b), strict=True)]
+            for side, (x, segments, own, other) in enumerate(zip((a, b), prints, keys, keys[::-1], strict=True)):
+                shared = own[(own != 0) & (np.isin(own, other) | (own % np.uint64(5) < 2))]
+                levels = np.uint64(4 * 256) + (shared >> np.uint64(8)) % np.uint64(20_000)
+                items, _, level, ring, *following = nearcopies.chain_rows(maker, segments, len(x), shared, levels)
+                rows += [(f"{pair}-{m}", side, *(int(v) for v in (item, side, len(x), level, ring, *rest, *odd[side]))) for item, *rest in zip(items.view(np.int64), *(f.view(np.int64) for f in following), strict=True)]
+    names = ["n", "level", "ring", "following", "nearer", "farther", *nearcopies._ODD]
+    table = spark.createDataFrame(rows, "pair string, side int, item long, short long, " + ", ".join(f"{c} {'int' if c in names[:3] else 'long'}" for c in names))
+    a, b = (table.filter(f"side = {k}").select("pair", "item", F.col("n").alias(f"n{x}"), *[F.col(c).alias(f"{c}_{x}") for c in names[1:]]) for k, x in enumerate("ab"))
+    assert a.join(b, ["pair", "item"]).filter(nearcopies._chained(0.8)).select("pair").distinct().count() == expected > 100
