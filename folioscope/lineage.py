@@ -44,3 +44,10 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df, dealt out by keys if its files are fewer parts than there are cores: rows of a
+    small file can be much work, which would be one task's."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(4 * cores, *keys)

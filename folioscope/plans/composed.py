@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..lineage import spread
 from ..operators import graph as G
 from ..operators import ingest as I
 from ..operators import procedures as P
@@ -31,7 +32,7 @@ def manual_pages(spark, sf_dir) -> DataFrame:
         "\n", F.concat(F.lit("Manual "), doc, F.lit("  Rev 2")), "p_name", F.concat(F.lit("Size "), F.col("p_size").cast("string")), "p_brand", "p_type",
         F.concat(F.lit("Page "), (page + 1).cast("string"), F.lit(" of 50")),
     )
-    return read(spark, sf_dir, "part").select(doc.alias("doc"), page.alias("page"), text.alias("text"))
+    return spread(read(spark, sf_dir, "part"), "p_partkey").select(doc.alias("doc"), page.alias("page"), text.alias("text"))
 
 
 @query(f"""with {_MANUALS}, x as (select doc, page, unnest(range(0, 6)) as idx, unnest(l) as line from p),
@@ -248,7 +249,7 @@ def n17_translation_differences(spark, sf_dir):
     id_ = F.concat(F.lit("P"), k.cast("string"))
     en = F.concat(F.lit("## Scope\nadd "), s.cast("string"), F.lit(" ml at 2.5%"), F.when(k % 4 == 0, "\n## Safety\nnone").otherwise(""))
     es = F.concat(F.lit("## Alcance\nadd "), (s + k % 2).cast("string"), F.lit(" ml at "), F.when(k % 3 == 0, "2,5%").otherwise("2.5%"))
-    part = read(spark, sf_dir, "part")
+    part = spread(read(spark, sf_dir, "part"), "p_partkey")
     docs = part.select(id_.alias("sop_id"), en.alias("body"), F.lit("en").alias("language"), F.lit(None).cast("string").alias("parent_id"))
     docs = docs.union(part.select(F.concat(id_, F.lit("-ES")), es, F.lit("es"), id_)).withColumn("full_text", F.col("body"))
     return Q.translation_differences(docs, Q.translation_pairs(docs))

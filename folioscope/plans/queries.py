@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
+from ..lineage import spread
 from ..operators import citations as K
 from ..operators import graph as G
 from ..operators import quality as Q
@@ -326,7 +327,7 @@ def part_documents(spark, sf_dir) -> DataFrame:
         F.lit("Follows EU GMP Annex 1 ("), year, F.lit(" revision); rooms are tested as told by local rules and norms, see ISO 14644-1:"),
         F.when(F.col("p_partkey") % 2 == 0, "1999").otherwise("2015"), F.lit(". Risk: ICH Q9. See PDA TR-60."),
     )
-    return read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("sop_id"), text.alias("full_text"))
+    return spread(read(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").cast("string").alias("sop_id"), text.alias("full_text"))
 
 
 @query("""with p as (select p_partkey::varchar as sop_id, p_size % 3 as s, p_partkey % 2 as k from part)
