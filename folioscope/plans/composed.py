@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..lineage import spread
+from ..lineage import dealt, spread
 from ..operators import graph as G
 from ..operators import ingest as I
 from ..operators import procedures as P
@@ -94,7 +94,8 @@ def flow_documents(spark, sf_dir) -> DataFrame:
     k, part = F.col("l_linenumber"), F.col("l_partkey").cast("string")
     text = F.when(k % 3 == 0, F.concat(F.lit("If part "), part, F.lit(" is broken again, reject the whole box now."))).otherwise(F.concat(F.lit("Record part "), part, F.lit(".")))
     step = F.struct(k.alias("k"), F.concat(k.cast("string"), F.lit(". "), text).alias("line"))
-    rows = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("sop_id")).agg(F.array_sort(F.collect_list(step)).alias("s"))
+    rows = dealt(read(spark, sf_dir, "lineitem"), "l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(step)).alias("s"))
+    rows = rows.select(F.col("l_orderkey").cast("string").alias("sop_id"), "s")
     body = F.concat(F.lit("Some words first.\n\nII. PACKING OF THE BOX\n"), F.array_join(F.transform("s", lambda x: x["line"]), "\n"), F.lit("\n\nEnd of it."))
     return rows.select("sop_id", F.concat(F.lit("Order "), "sop_id").alias("title"), body.alias("body"))
 
